@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import chat, mixing, simhash, tokens
-from kinlink.llm.common import prepare, shared_dir
+from kinlink.llm import chat, classify, mixing, simhash, tokens
+from kinlink.llm.common import prepare, remainder, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,21 @@ FROM placed GROUP BY conv_id, part, perspective
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(F.col("doc_id"), 3) == 1
+    model = classify.fit(docs, docs.where(~held).select("doc_id", F.col("lang").alias("label")), classify.LANGUAGE, per_class=1000)
+    found = classify.predict_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
+    model = classify.fit(docs, labels, classify.TOXICITY, per_class=4000)
+    return classify.predict_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
