@@ -1,8 +1,9 @@
-"""What the corpus operators share: checkpoints, Arrow buffers as numpy bytes, word spans, salts."""
+"""What the corpus operators share: cut lineages, Arrow buffers as numpy bytes, word spans, salts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -52,10 +53,26 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write df as Parquet in the shared folder and read it again.
+
+    A lost executor then costs no more than the stage after; checkpoint() would do the same but computes a frame
+    without shuffles twice. release() deletes what has been written, once results are no longer needed.
+    """
+    path = f"{shared_dir(df.sparkSession)}/kinlink-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that cut() has written; results that still read them must have been stored before."""
+    while _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Loops and repeated edges are allowed, rows with a null end are ignored, and no edges give no rows.
     Every round is two pre-aggregated minima and two equi-joins, so that a hub's edges are never
-    gathered in one task; each round is checkpointed, so that a lost executor costs one round.
+    gathered in one task; each round is written to the shared folder, so that a lost executor costs one round.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v and u is not null and v is not null").distinct()
     e = cut(e)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import chat, classify, decontaminate, embed, mixing, simhash, tokens
+from kinlink.llm import chat, classify, decontaminate, embed, mixing, ppm, simhash, tokens
 from kinlink.llm.common import prepare, remainder, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 @query
 def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
