@@ -1,4 +1,4 @@
-"""Prediction by partial matching: a byte-context trie with escapes (method C) and symbol exclusion, pretrained on a corpus."""
+"""Prediction by partial matching: a byte-context trie with escapes (method D) and symbol exclusion, pretrained on a corpus."""
 
 from __future__ import annotations
 
@@ -70,12 +70,12 @@ class Level:
     """Contexts of one length and their symbols, sorted; logarithms to base 10."""
 
     nodes: np.ndarray  # context numbers
-    total: np.ndarray  # log of (count + distinct)
-    escape: np.ndarray  # log of distinct / (count + distinct)
+    total: np.ndarray  # log of the count of its symbols
+    escape: np.ndarray  # log of half the distinct symbols over the count
     total_after: np.ndarray  # the same for the next shorter context, without the symbols seen here
     escape_after: np.ndarray
     entries: np.ndarray  # context number * 256 + symbol
-    count: np.ndarray  # log of the count
+    count: np.ndarray  # log of the count less a half
 
 
 def levels(grams: np.ndarray, counts: np.ndarray, order: int) -> list[Level]:
@@ -98,10 +98,10 @@ def levels(grams: np.ndarray, counts: np.ndarray, order: int) -> list[Level]:
                 seen = up_n[np.searchsorted(up_entries, entries & np.uint64((1 << (8 * k)) - 1))]
                 up = np.searchsorted(up_nodes, nodes & np.uint64((1 << (8 * (k - 1))) - 1)) if k > 1 else np.zeros(len(nodes), int)
                 rest, left = up_total[up] - np.add.reduceat(seen, heads), up_distinct[up] - distinct
-                after = np.where(left > 0, np.log10(np.maximum(rest + left, 1)), 0.0), np.where(left > 0, np.log10(left / np.maximum(rest + left, 1)), 0.0)
+                after = np.where(left > 0, np.log10(np.maximum(rest, 1)), 0.0), np.where(left > 0, np.log10(left / 2 / np.maximum(rest, 1)), 0.0)
             else:
                 after = np.zeros(len(nodes)), np.zeros(len(nodes))
-            out.append(Level(nodes, np.log10(total + distinct), np.log10(distinct / (total + distinct)), *after, entries, np.log10(n)))
+            out.append(Level(nodes, np.log10(total), np.log10(distinct / 2 / total), *after, entries, np.log10(n - 0.5)))
     return out
 
 
