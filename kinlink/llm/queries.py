@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm import chat, classify, decontaminate, embed, mixing, ppm, simhash, tokens
+from kinlink.llm import chat, classify, decontaminate, embed, mixing, ppm, simhash, substring, tokens
 from kinlink.llm.common import prepare, remainder, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+
+
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
