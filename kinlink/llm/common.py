@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -75,6 +76,12 @@ def release(spark: SparkSession) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referenced; otherwise they stay until the driver's next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of an Arrow string column; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
