@@ -58,9 +58,14 @@ def block_country(label: Column) -> Column:
     return F.when(cc != "other", cc).otherwise(F.coalesce(F.nullif(clean(label), F.lit("")), F.lit("unknown")))
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    """A map column of fixed values, parsed from one expression."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in table.items()) + ")")
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """table[key], null where it has no such key."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+    return F.try_element_at(literal_map(table), key)
 
 
 def words(c: Column) -> Column:
@@ -91,9 +96,9 @@ def cleaned_tokens(folded: Column, cc: Column) -> Column:
 
 def expand(tokens: Column, common: dict[str, str], cc: Column, own: dict[str, dict[str, str]]) -> Column:
     """T6. Each token of an array through the table of its country over the common one."""
-    table = F.create_map(*(F.lit(x) for kv in common.items() for x in kv))
+    table = literal_map(common)
     for k, extra in own.items():
-        table = F.when(cc == k, F.create_map(*(F.lit(x) for kv in {**common, **extra}.items() for x in kv))).otherwise(table)
+        table = F.when(cc == k, literal_map({**common, **extra})).otherwise(table)
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t))
 
 

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.functions.text import normalise
 from kinlink.operators import decide, features, metrics, model, retrieve
+from kinlink.sources.tables import materialise
 
 
 def retrieve_all(records: DataFrame, blocking: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(normalised, postings, candidates) of raw records; the first two are persisted, as several operators read them."""
-    norm = normalise(records).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = retrieve.postings(retrieve.documents(norm), blocking["max_df"]).persist(StorageLevel.MEMORY_AND_DISK)
+    """(normalised, postings, candidates) of raw records; all are materialised, as several operators read them."""
+    norm = materialise(normalise(records))
+    weights = materialise(retrieve.postings(retrieve.documents(norm), blocking["max_df"]))
     found = retrieve.top_k(weights.where("src = 1"), weights.where("src <> 1"), blocking["k"], blocking["min_sim"])
     kept = retrieve.prune(retrieve.prune_score(retrieve.union(found, weights, blocking["k"]), blocking["score"]), blocking["max_k"], blocking["min_score"])
+    kept = materialise(kept)
     hop = blocking.get("hop")
-    return norm, weights, retrieve.second_hop(kept, weights, max_k=blocking["max_k"], first_k=blocking["k"], **hop) if hop else kept
+    return norm, weights, materialise(retrieve.second_hop(kept, weights, max_k=blocking["max_k"], first_k=blocking["k"], **hop)) if hop else kept
 
 
 def experiment(records: DataFrame, truth: DataFrame, ones: DataFrame, config: dict, thresholds: tuple[float, float, float] | None = None) -> dict[str, DataFrame]:
@@ -25,21 +26,21 @@ def experiment(records: DataFrame, truth: DataFrame, ones: DataFrame, config: di
     norm, weights, cands = retrieve_all(records, config["blocking"])
     own = {k: config["model"][k] for k in ("trees", "depth", "folds") if k in config["model"]}
     settings = model.Settings(**own, seeds=tuple(config["model"]["seeds"]))
-    rows = model.entity_weights(model.label(features.features(cands, norm, weights), truth), None).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(model.entity_weights(model.label(features.features(cands, norm, weights), truth), None))
     columns = model.feature_columns(rows)
-    scored = model.out_of_fold(rows, columns, settings, "p1").persist(StorageLevel.MEMORY_AND_DISK)
+    scored = materialise(model.out_of_fold(rows, columns, settings, "p1"))
     if config.get("stage2"):
         both = rows.join(scored.select("s1", "cand", "p1"), ["s1", "cand"])
-        second = features.stage2_features(both).join(rows.select("bc", "s1", "cand", "cand_src", "y", "w"), ["s1", "cand"]).persist(StorageLevel.MEMORY_AND_DISK)
+        second = materialise(features.stage2_features(both).join(rows.select("bc", "s1", "cand", "cand_src", "y", "w"), ["s1", "cand"]))
         final = model.out_of_fold(second, model.feature_columns(second), settings, "p")
     else:
         final = scored.withColumnRenamed("p1", "p")
-    final = final.persist(StorageLevel.MEMORY_AND_DISK)
+    final = materialise(final)
     d = decide.prepare(final, config["decide"]["one_to_one"])
     out = {"candidates": cands, "scores": final}
     if thresholds is None:
         grid = [decide.steps(*config["decide"]["grid"][k]) for k in ("t_first", "t_other", "t_extra")]
-        out["curve"] = decide.grid_search(d, truth, ones, *grid).persist(StorageLevel.MEMORY_AND_DISK)
+        out["curve"] = materialise(decide.grid_search(d, truth, ones, *grid))
         best = out["curve"].where("chosen").head()
         thresholds = best.t_first, best.t_other, best.t_extra
     chosen = decide.select(d, *thresholds)
@@ -65,11 +66,11 @@ def train_pruner(records: DataFrame, truth: DataFrame, blocking: dict, settings:
 
     Seven tenths of the queries train, the rest measure.
     """
-    norm = normalise(records).persist(StorageLevel.MEMORY_AND_DISK)
-    weights = retrieve.postings(retrieve.documents(norm), blocking["max_df"]).persist(StorageLevel.MEMORY_AND_DISK)
+    norm = materialise(normalise(records))
+    weights = materialise(retrieve.postings(retrieve.documents(norm), blocking["max_df"]))
     queries = weights.where("src = 1").join(sample.select(F.col("s1").alias("id")), "id", "left_semi")
     union = retrieve.prune_score(retrieve.union(retrieve.top_k(queries, weights.where("src <> 1"), blocking["k"], blocking["min_sim"]), weights, blocking["k"]))
-    rows = model.entity_weights(model.label(retrieve.prune_features(union, norm), truth), None).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(model.entity_weights(model.label(retrieve.prune_features(union, norm), truth), None))
     columns = [c for c in model.feature_columns(rows) if c != "prune_score"]
     train = model.fold_of(F.col("s1"), 10, 7) < 7
     held = rows.where(~train)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from kinlink.plans import oracle as O
 from kinlink.plans.oracle import sql
 from kinlink.sources import fixtures
 from kinlink.sources import records as R
+from kinlink.sources.tables import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,12 +36,12 @@ def query(oracle: str | None = None):
 
 
 def _shared(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The frame that make() gives, persisted once for each session and input: several queries read it."""
+    """The frame that make() gives, materialised once for each session and input: several queries read it."""
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (name, spark.sparkContext.applicationId, sf_dir)
         if key not in _kept:
-            _kept[key] = make(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+            _kept[key] = materialise(make(spark, sf_dir))
         return _kept[key]
 
     return get
@@ -279,9 +279,9 @@ def k7_k10_native_pair_features(s, d):
 
 
 @query(sql("kept", """
-SELECT bc, s1, cand, avg(both::INT) AS n_jacc, round(coalesce(sum(idf) FILTER (both), 0) / sum(idf), 6) AS n_idf_overlap, round(coalesce(max(idf) FILTER (NOT both), 0), 6) AS n_max_idf_unshared,
-       round(coalesce(max(idf) FILTER (both), 0), 6) AS n_max_idf_shared
-FROM (SELECT bc, s1, cand, tok, list_contains(ac, tok) AND list_contains(bcore, tok) AS both FROM (SELECT *, unnest(list_distinct(list_concat(ac, bcore))) AS tok FROM sides)) JOIN names USING (bc, tok) GROUP BY ALL
+SELECT bc, s1, cand, avg(in_both::INT) AS n_jacc, round(coalesce(sum(idf) FILTER (in_both), 0) / sum(idf), 6) AS n_idf_overlap, round(coalesce(max(idf) FILTER (NOT in_both), 0), 6) AS n_max_idf_unshared,
+       round(coalesce(max(idf) FILTER (in_both), 0), 6) AS n_max_idf_shared
+FROM (SELECT bc, s1, cand, tok, list_contains(ac, tok) AND list_contains(bcore, tok) AS in_both FROM (SELECT *, unnest(list_distinct(list_concat(ac, bcore))) AS tok FROM sides)) JOIN names USING (bc, tok) GROUP BY ALL
 """, _BOTH, "names AS (SELECT bc, tok, ln((n + 1) / (df + 1)) + 1 AS idf FROM (SELECT bc, tok, count(*) AS df FROM (SELECT bc, unnest(list_distinct(core)) AS tok FROM norm) GROUP BY ALL) JOIN (SELECT bc, count(*) AS n FROM norm GROUP BY bc) USING (bc))"))
 def k11_token_features(s, d):
     f = features.token_features(_sides(s, d), retrieve.token_idf(norm(s, d)))

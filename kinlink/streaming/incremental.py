@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinlink.functions.text import normalise
 from kinlink.operators import retrieve
+from kinlink.sources.tables import materialise
 
 
 def link_arrivals(spark: SparkSession, folder: str, pool: DataFrame, target: str, checkpoint: str, k: int = 25, min_sim: float = 0.1) -> StreamingQuery:
@@ -15,11 +16,11 @@ def link_arrivals(spark: SparkSession, folder: str, pool: DataFrame, target: str
     pool: raw records of sources 2 and 3. A batch writes its own subfolder in overwrite mode, so that a batch
     replayed after a failure leaves one copy; the query stops when all files are taken (availableNow).
     """
-    norm = normalise(pool).persist()
+    norm = materialise(normalise(pool))
     arrivals = spark.readStream.schema(pool.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
     def link(batch: DataFrame, number: int) -> None:
-        both = norm.unionByName(normalise(batch))
+        both = norm.unionByName(normalise(batch).select(*norm.columns))
         weights = retrieve.postings(retrieve.documents(both))
         retrieve.top_k(weights.where("src = 1"), weights.where("src <> 1"), k, min_sim).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
