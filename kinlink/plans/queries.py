@@ -360,7 +360,7 @@ def d4_to_lists(s, d):
 _FIRST, _OTHER, _EXTRA = decide.steps(0.3, 0.7, 0.2), decide.steps(0.5, 0.8, 0.15), decide.steps(0.6, 0.9, 0.15)
 _GRID = f"""
 grid AS (
-  SELECT i, j, k, t1, t2, t3 FROM (SELECT unnest(range({len(_FIRST)})) AS i, unnest({_FIRST}) AS t1), (SELECT unnest(range({len(_OTHER)})) AS j, unnest({_OTHER}) AS t2), (SELECT unnest(range({len(_EXTRA)})) AS k, unnest({_EXTRA}) AS t3)),
+  SELECT i, j, k, t1, t2, t3 FROM (SELECT unnest(range({len(_FIRST)})) AS i, unnest({_FIRST})::DOUBLE AS t1), (SELECT unnest(range({len(_OTHER)})) AS j, unnest({_OTHER})::DOUBLE AS t2), (SELECT unnest(range({len(_EXTRA)})) AS k, unnest({_EXTRA})::DOUBLE AS t3)),
 tried AS (
   SELECT i, j, k, s1, count(*) AS n_pred, count(t.cand) AS tp FROM grid CROSS JOIN prepared p LEFT JOIN truth t USING (s1, cand)
   WHERE top_p >= t1 AND pa > 0 AND (is_top OR (is_other_best AND pa >= t2) OR pa >= t3) GROUP BY ALL),
