@@ -21,7 +21,7 @@ MAX_CLASSES = 256
 LANGUAGE = subword.Shape(sizes=(2, 3, 4), bits=14, dim=16, epochs=5, rate=0.05)
 
 #: n-grams inside words, so that a misspelling shares most of its vectors with the word meant.
-TOXICITY = subword.Shape(sizes=(4, 5, 6), bits=18, dim=8, within_words=True, epochs=6, rate=0.05)
+TOXICITY = subword.Shape(sizes=(4, 5, 6), bits=18, dim=8, within_words=True, epochs=10, rate=0.05, least_steps=800)
 
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -68,6 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
     back = np.random.default_rng(shape.seed).random(len(bags)) < held_back
     own, kept = np.flatnonzero(full & ~back), np.flatnonzero(full & back)
     model = subword.train([bags[i] for i in own], labels[own], classes, shape, weights[own])
+    model.prior = np.array([counts[k] for k in classes]) / sum(counts.values())
     subword.calibrate(model, subword.bag_logits(model, [bags[i] for i in kept]), labels[kept], weights[kept])
     return model
 
@@ -124,7 +125,7 @@ def predict_language(docs: DataFrame, model: subword.Model, keep_text: bool = Fa
 def predict_toxicity(docs: DataFrame, model: subword.Model, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
     """docs (with text) plus score double, the calibrated probability of label 1, and predicted int (score >= threshold).
 
-    Null and empty texts have the score of the class priors that the biases hold; a model that has seen no label 1 gives 0,
+    Texts without n-grams, null and empty ones too, have label 1's share of the labels; a model that has seen no label 1 gives 0,
     one that has seen only label 1 gives 1. Columns of these names are replaced; an empty table gives no rows.
     """
     classes = list(model.classes)

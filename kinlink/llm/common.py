@@ -76,6 +76,14 @@ def release(spark: SparkSession) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """name, or name with underscores that no column of df has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referenced; otherwise they stay until the driver's next full collection."""
     gc.collect()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import LOWER, gather, parts_for, prepare, text_bytes, word_spans
+from kinlink.llm.common import LOWER, free_name, gather, prepare, text_bytes, word_spans
 
 #: Bytes of benchmark text whose windows one automaton holds; a larger benchmark is scanned for in slices.
 AUTOMATON_BYTES = 2 << 20
@@ -110,20 +110,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep_te
     names, at = docs.columns, docs.columns.index("text")
     if slices == 1:
         return _scan_with(docs, items, size, [c for c in names if keep_text or c != "text"], at)
-    marked = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    row = free_name("row", docs)
+    marked = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     found = None
     for k in range(slices):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        part = _scan_with(marked.select("__row", "text").dropDuplicates(["__row"]), own, size, ["__row"], 1)
+        part = _scan_with(marked.select(row, "text").dropDuplicates([row]), own, size, [row], 1)
         found = part if found is None else found.unionByName(part)
 
     def unite(rows: pa.Table) -> pa.Table:
         spans = merged([tuple(s) for x in rows["spans"].to_pylist() for s in x])
         items = sorted({i for x in rows["items"].to_pylist() for i in x})
-        return pa.table({"__row": rows["__row"][:1], "items": pa.array([items]), "spans": pa.array([spans.tolist()], pa.list_(pa.list_(pa.int64())))})
+        return pa.table({row: rows[row][:1], "items": pa.array([items], pa.list_(pa.string())), "spans": pa.array([spans.tolist()], pa.list_(pa.list_(pa.int64())))})
 
-    united = found.groupBy("__row").applyInArrow(unite, "__row long, items array<string>, spans array<array<bigint>>")
-    whole = marked.repartition(parts_for(docs, 0, 1), "__row").join(united, "__row").drop("__row")
+    united = found.groupBy(row).applyInArrow(unite, f"{row} long, items array<string>, spans array<array<bigint>>")
+    whole = marked.join(united, row).drop(row)
     counted = _count_hits(whole)
     return counted if keep_text else counted.drop("text")
 

@@ -58,7 +58,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, seed: int = 17
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     own = ["size", "source_size", "target", "repeats", "extra", "taken"]
     kept = docs.drop(*own)
-    sized = kept.withColumn("size", word_count(F.col("text"))).withColumn("__key", key)
+    # The rows travel as one struct, so that no name of theirs meets a name used here.
+    sized = kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("__row"), "source", word_count(F.col("text")).alias("size"), key.alias("__key"))
     sized = sized.withColumn("__bucket", F.substring("__key", 1, DIGITS))
     buckets = cut(sized.groupBy("source", "__bucket").agg(F.sum("size").alias("__words")))
     sources = fill_levels(cyclic_weights(buckets.groupBy("source").agg(F.sum("__words").alias("source_size")), cycle), share, max_epochs)
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, seed: int = 17
     left = F.col("__rest") - F.col("__ahead") - F.col("__before")
     full = full.withColumn("extra", F.greatest(F.lit(0), F.least(left, F.col("size"))).cast("long"))
     full = full.withColumn("taken", F.col("repeats") * F.col("size") + F.col("extra"))
-    return full.select(*kept.columns, *own)
+    return full.select("__row.*", *own)
 
 
 def expand(mixed: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def _links(key: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint long, component_id) of every row of docs (doc_id, text).
+    """(doc_id, fingerprint long, component_id) of every row of docs (doc_id integer, text).
 
     Fingerprints of at most `radius` (<= 3) differing bits are linked. Cut into two segments of 32 bits, two such
     fingerprints have a segment that differs by at most one bit, so they share one of its 32 one-wildcard variants:
@@ -134,8 +134,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
         for b in batches:
             yield pa.record_batch([b[0], pa.array(fingerprints(*text_bytes(b[1]), size).view(np.int64))], ["doc_id", "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    printed = cut(docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {kind}, fp long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    printed = cut(texts.mapInArrow(prints, "doc_id long, fp long"))
     classes = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     known = classes.where("rep is not null")
     at = F.col("at")

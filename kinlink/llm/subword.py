@@ -35,6 +35,10 @@ class Shape:
     rate: float = 0.05
     decay: float = 1e-6
     batch: int = 64
+    #: Small samples are gone through more often, until the fit has taken so many steps.
+    least_steps: int = 400
+    #: Spread of the starting vectors; small, as n-grams never seen in training keep theirs.
+    spread: float = 0.001
     seed: int = 7
 
 
@@ -48,6 +52,7 @@ class Model:
     bias: np.ndarray = None
     temperature: float = 1.0
     reject: float = 0.0
+    prior: np.ndarray = None  # the classes' shares: what a text without n-grams gets
 
 
 def normal(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +115,9 @@ def pieces(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 
 def logits(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts x classes, before the temperature; a text without n-grams has the biases alone."""
+    """Texts x classes, before the temperature; a text without n-grams has those of the classes' shares."""
     out = np.zeros((len(offsets) - 1, len(model.classes)))
+    empty = np.zeros(len(out), bool)
     for lo, hi in pieces(offsets):
         flat, at = normal(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         n = np.zeros(hi - lo)
@@ -123,7 +129,11 @@ def logits(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 for k, scores in enumerate(model.table):
                     out[lo + full, k] += np.add.reduceat(scores[bucket], o[full], dtype=np.float64)
         out[lo:hi] /= np.maximum(n, 1)[:, None] ** model.shape.power
-    return out + model.bias
+        empty[lo:hi] = n == 0
+    out += model.bias
+    if model.prior is not None:
+        out[empty] = model.temperature * np.log(np.maximum(model.prior, 1e-12))
+    return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -145,11 +155,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes
     """Fit embeddings and softmax together (minibatches, Adam steps of the stochastic gradient)."""
     rng = np.random.default_rng(shape.seed)
     k, buckets = len(classes), 1 << shape.bits
-    params = [rng.normal(0, 1 / shape.dim, (buckets, shape.dim)).astype(np.float32), rng.normal(0, 1 / np.sqrt(shape.dim), (shape.dim, k)).astype(np.float32), np.zeros(k, np.float32)]
+    params = [rng.normal(0, shape.spread, (buckets, shape.dim)).astype(np.float32), rng.normal(0, 1 / np.sqrt(shape.dim), (shape.dim, k)).astype(np.float32), np.zeros(k, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     weights = np.ones(len(rows)) if weights is None else weights
-    step, total = 0, max(1, shape.epochs * -(-len(rows) // shape.batch))
-    for _ in range(shape.epochs):
+    batches = max(1, -(-len(rows) // shape.batch))
+    epochs = max(shape.epochs, -(-shape.least_steps // batches))
+    step, total = 0, epochs * batches
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), shape.batch):
             pick = order[lo : lo + shape.batch]
