@@ -43,7 +43,7 @@ def repeated_ids(records: DataFrame) -> DataFrame:
 def load_truth(spark: SparkSession, path: str, ones: DataFrame) -> DataFrame:
     """S9. (s1, matched array) of every query: comma lists split, trimmed, without blanks and repeats; none where absent."""
     rows = read_tsv(spark, path)
-    ids = F.array_distinct(F.filter(F.transform(F.split("matched_entity_ids", ","), F.trim), lambda x: x != ""))
+    ids = F.array_distinct(F.filter(F.transform(F.split("matched_entity_ids", ","), lambda x: F.trim(x)), lambda x: x != ""))
     given = rows.select(F.col("source1_entity_id").alias("s1"), ids.alias("matched"))
     return ones.select("s1").join(given, "s1", "left").select("s1", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"))
 
