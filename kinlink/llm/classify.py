@@ -28,8 +28,9 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int, held_back: float = 0.1) -> subword.Model:
-    """Fit on a bounded sample of docs (doc_id, text) labelled by labels (doc_id, label): about per_class of each label.
+def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int, overall: int = 0, held_back: float = 0.1) -> subword.Model:
+    """Fit on a bounded sample of docs (doc_id, text) labelled by labels (doc_id, label): of each label about per_class, or
+    its share of `overall` documents if that is more.
 
     Rows with a null label or doc_id are left out; of several labels of a doc_id the largest counts. Ids are picked from the
     labels by a hash, so the picked ids are a broadcast of bounded size and texts are not shuffled; texts are whole. Their
@@ -45,7 +46,8 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
     if not classes:
         return subword.Model(shape, [], np.zeros((0, 1 << shape.bits), np.float32), np.zeros(0))
     field = T.StructField("label", labels.schema["label"].dataType)
-    shares = spark.createDataFrame([(k, min(1.0, per_class / n)) for k, n in counts.items()], T.StructType([field, T.StructField("share", T.DoubleType())]))
+    total = sum(counts.values())
+    shares = spark.createDataFrame([(k, min(1.0, max(per_class / n, overall / total))) for k, n in counts.items()], T.StructType([field, T.StructField("share", T.DoubleType())]))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.join(F.broadcast(shares), "label").where(draw < F.col("share")).select("doc_id", "label")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("key"))

@@ -113,7 +113,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 4) == 2
     labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
-    model = classify.fit(docs, labels, classify.TOXICITY, per_class=4000)
+    model = classify.fit(docs, labels, classify.TOXICITY, per_class=2000, overall=8000)
     return classify.predict_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
