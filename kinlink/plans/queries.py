@@ -47,6 +47,11 @@ def _shared(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callab
     return get
 
 
+def forget() -> None:
+    """Derive shared frames anew from now on."""
+    _kept.clear()
+
+
 norm = _shared("norm", lambda s, d: T.normalise(fixtures.records(s, d)))
 post = _shared("post", lambda s, d: retrieve.postings(retrieve.documents(norm(s, d)), O.MAX_DF))
 found = _shared("found", lambda s, d: retrieve.top_k(post(s, d).where("src = 1"), post(s, d).where("src <> 1"), O.K))
