@@ -167,6 +167,18 @@ def test_substrings_against_brute_force(spark, monkeypatch, length):
     assert got == brute_removal(data, length)
 
 
+@pytest.mark.parametrize("length", [30, 50])
+def test_substrings_where_one_side_repeats_its_last_line(spark, length):
+    data = []
+    for k in range(150):
+        context, line = prose(random.randint(2, 12)), prose(random.randint(1, 5))[: random.randint(4, 34)] + "\n"
+        pair = [context + " " + line * random.randint(2, 4), context + " " + line + prose(random.randint(0, 6))]
+        random.shuffle(pair)
+        data += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(data, DOC).repartition(3), length).collect()), key=str)
+    assert got == brute_removal(data, length)
+
+
 def test_substrings_keep_text_and_columns(spark):
     p = prose(20)
     df = clashing(spark, [(1, p), (2, "start " + p + " end"), (3, None)])
