@@ -7,16 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import LOWER, SPACE, cut, gather, prepare, text_bytes, word_spans
+from kinlink.llm.common import LOWER, SPACE, cut, gather, parts_for, prepare, text_bytes, word_spans
 from kinlink.llm.xxh import xxh64
 
 #: Longest context, in bytes.
 ORDER = 5
 
-#: Entries (context, symbol) of the longest order that the model may hold; a corpus with more gets a shorter longest context.
+#: Entries (context, symbol) that are broadcast; of a corpus with more the frequent ones, the others are looked up by a join.
 ENTRIES = 4_000_000
 
 #: Words whose counts are broadcast; rarer words are looked up by a join.
@@ -105,25 +105,22 @@ def levels(grams: np.ndarray, counts: np.ndarray, order: int) -> list[Level]:
     return out
 
 
-class Trie:
-    """Code lengths of coded bytes. The longest order's entries also stand in a hash table, which answers most positions."""
+class Table:
+    """A hash table of numbers and their values."""
 
-    def __init__(self, trie: list[Level]):
-        self.trie, self.order = trie, len(trie) - 1
-        top = trie[-1]
-        self.bits = max(4, int(np.ceil(np.log2(max(len(top.entries), 1) * 2.5))))
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2.5))))
         size = (1 << self.bits) + 64
         self.slots = np.full(size, 2**64 - 1, np.uint64)
         self.value = np.zeros(size, np.float32)
-        todo = np.arange(len(top.entries))
-        where = self._slot(top.entries)
-        direct = top.count - top.total[np.searchsorted(top.nodes, top.entries >> np.uint64(8))] if len(todo) else np.empty(0)
+        todo = np.arange(len(keys))
+        where = self._slot(keys)
         while len(todo):
             spot, first = np.unique(where[todo], return_index=True)
             free = self.slots[spot] == np.uint64(2**64 - 1)
             placed = todo[first[free]]
-            self.slots[spot[free]] = top.entries[placed]
-            self.value[spot[free]] = direct[placed]
+            self.slots[spot[free]] = keys[placed]
+            self.value[spot[free]] = values[placed]
             todo = np.setdiff1d(todo, placed, assume_unique=True)
             where[todo] += 1
             if len(todo) and where[todo].max() >= len(self.slots):
@@ -134,8 +131,8 @@ class Trie:
     def _slot(self, k: np.ndarray) -> np.ndarray:
         return ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def logs(self, k: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | context) for numbers of `order` context bytes and a symbol."""
+    def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of k, 0 where it is missing, and the positions of the missing ones."""
         where = self._slot(k)
         found = self.slots[where]
         hit = found == k
@@ -153,7 +150,21 @@ class Trie:
             missing.append(open_[empty])
             open_ = open_[~right & ~empty]
             step += 1
-        at = np.concatenate(missing)
+        return out, np.sort(np.concatenate(missing))
+
+
+class Trie:
+    """Code lengths of coded bytes. The longest order's entries also stand in a hash table, which answers most positions."""
+
+    def __init__(self, trie: list[Level]):
+        self.trie, self.order = trie, len(trie) - 1
+        top = trie[-1]
+        direct = top.count - top.total[np.searchsorted(top.nodes, top.entries >> np.uint64(8))] if len(top.entries) else np.empty(0)
+        self.table = Table(top.entries, direct)
+
+    def logs(self, k: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | context) for numbers of `order` context bytes and a symbol."""
+        out, at = self.table.find(k)
         if len(at):
             out[at] = self._escaped(k[at])
         return out
@@ -175,7 +186,7 @@ class Trie:
             has = own.entries[spot] == e
             prev = before[active]
             late = prev >= 0
-            longer = self.trie[level + 1] if level < self.order else own
+            longer = self.trie[level + 1] if level < self.order and len(self.trie[level + 1].nodes) else own
             total = np.where(late, longer.total_after[np.where(late, prev, 0)], own.total[node])
             escape = np.where(late, longer.escape_after[np.where(late, prev, 0)], own.escape[node])
             out[active] += np.where(has, own.count[spot] - total, np.where(known, escape, 0.0))
@@ -250,6 +261,43 @@ def count(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(tally, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def least_frequent(counted: DataFrame, most: int) -> int:
+    """The smallest power of two that at most `most` rows' n reach; 1 if there are no more rows."""
+    sizes = sorted(((r[0], r[1]) for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()), reverse=True)
+    total = 0
+    for b, n in sizes:
+        total += n
+        if total > most:
+            return 1 << (b + 1)
+    return 1
+
+
+def looked_up(grams: DataFrame, held: int, asked: DataFrame, base: list[Level], order: int, entries: int) -> DataFrame:
+    """(key, log): log10 P(symbol | context) of the distinct keys `asked` (key), under the trie of grams (key, n; `held` rows).
+
+    `base` is the trie of a shorter order. All entries whose contexts end alike in that many bytes meet in a partition, which
+    thus holds every longer context that an asked key escapes through; the base has the rest.
+    """
+    short = len(base) - 1
+    shipped = grams.sparkSession.sparkContext.broadcast(base)
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b[0].to_numpy(), b[1].to_numpy()) for b in batches]
+        if not parts:
+            return
+        k, n = (np.concatenate(x) for x in zip(*parts))
+        k = k.view(np.uint64)
+        model = Trie(shipped.value + levels(k[n > 0], n[n > 0], order)[short + 1 :])
+        wanted = k[n == 0]
+        for lo in range(0, len(wanted), 1 << 18):
+            some = wanted[lo : lo + (1 << 18)]
+            yield pa.record_batch([pa.array(some.view(np.int64)), pa.array(model.logs(some))], ["key", "log"])
+
+    ending = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * short)) - 1))
+    rows = grams.unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
+    return rows.repartition(parts_for(grams, held + asked.count(), max(entries // 8, 1 << 16)), ending).mapInArrow(price, "key long, log double")
+
+
 def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENTRIES, words: int = WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text).
 
@@ -259,9 +307,10 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENT
     byte. Null and blank texts have the end only; with no training rows every symbol has probability 1/256; other columns are ignored;
     an empty table gives no rows.
 
-    Counts cover all training texts and grow with them. What is broadcast does not: at most `entries` trie entries (a
-    corpus with more gets the longest order that fits) and `words` frequent words; counts of rarer words are joined. Words are
-    told apart by XXH64.
+    Counts cover all training texts and grow with them, and contexts have `order` bytes at every size. What is broadcast does not
+    grow: at most `entries` trie entries and `words` frequent words; counts of rarer words are joined. Beyond `entries`
+    the frequent entries' probabilities are broadcast; the other contexts and symbols of the texts meet the trie in partitions by
+    a shorter context, the longest whose entries can be broadcast. Words are told apart by XXH64.
     """
     prepare(docs.sparkSession)
     context = docs.sparkSession.sparkContext
@@ -271,34 +320,37 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENT
     facts = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     texts = counted.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     distinct, tokens = facts[0] + (texts > 0), facts[1] + texts
-    sizes = sorted(((r[0], r[1]) for r in vocabulary.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()), reverse=True)
-    least, total = 1, 0
-    for b, n in sizes:
-        total += n
-        if total > words:
-            least = 1 << (b + 1)
-            break
+    least = least_frequent(vocabulary, words)
     common = vocabulary.where(F.col("n") >= least).toArrow().sort_by("key")
     grams = counted.where(F.col("kind") == GRAM).select("key", "n")
-    while order > 1 and grams.count() > entries:
-        order -= 1
-        grams = cut(grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")))
-    table = grams.toArrow()
-    trie = levels(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy(), order)
-    shipped = context.broadcast((trie, common["key"].to_numpy().copy(), common["n"].to_numpy().copy()))
+    held, short, base = grams.count(), order, grams
+    while short > 1 and (held if short == order else base.count()) > entries:
+        short -= 1
+        base = cut(base.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (short + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")))
+    table = base.toArrow()
+    trie = levels(table["key"].to_numpy().view(np.uint64), table["n"].to_numpy(), short)
+    whole = short == order
+    if whole:
+        model = trie
+    else:
+        context_of = F.shiftrightunsigned("key", 8)
+        chance = F.log10(F.col("n") - 0.5) - F.log10(F.sum("n").over(Window.partitionBy(context_of)))
+        often = grams.withColumn("log", chance).where(F.col("n") >= least_frequent(grams, entries)).select("key", "log").toArrow()
+        model = often["key"].to_numpy().view(np.uint64), often["log"].to_numpy()
+    shipped = context.broadcast((model, common["key"].to_numpy().copy(), common["n"].to_numpy().copy()))
     unseen = float(np.log10(0.1) - np.log10(tokens + 0.1 * (distinct + 1)))
     scale = float(np.log10(tokens + 0.1 * (distinct + 1)))
     end = float(np.log10(texts + 0.1) - scale)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, n = shipped.value
-        model = Trie(own)
+        model = Trie(own) if whole else Table(*own)
         logs = np.log10(n + 0.1) - scale
         for b in batches:
             buf, offsets = text_bytes(b[2])
-            out = {k: [] for k in ("tokens", "known", "base", "score", "rare")}
+            out = {k: [] for k in ("tokens", "known", "base", "score", "rare", "asked", "asks")}
             for lo, hi in chunks(offsets):
-                seq, at, h, doc = sequences(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], model.order)
+                seq, at, h, doc = sequences(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
                 h = h.view(np.int64)
                 order_ = np.argsort(h)
                 spot = np.empty(len(h), np.int64)
@@ -309,22 +361,40 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENT
                 out["tokens"].append(np.bincount(doc, minlength=m) + 1)
                 out["known"].append(np.bincount(doc[has], minlength=m) + (texts > 0))
                 out["base"].append(np.bincount(doc[has], weights=logs[spot[has]], minlength=m) + end)
-                out["score"].append(score_texts(model, seq, at))
+                if whole:
+                    out["score"].append(score_texts(model, seq, at))
+                else:
+                    k = keys(seq, order)[coded(at, order)]
+                    text = np.repeat(np.arange(m), np.diff(at) - order)
+                    logs_, missing = model.find(k)
+                    out["score"].append(np.bincount(text, weights=logs_, minlength=m))
+                    out["asked"].append(k[missing].view(np.int64))
+                    out["asks"].append(np.bincount(text[missing], minlength=m))
                 rare = np.split(h[~has], np.cumsum(np.bincount(doc[~has], minlength=m))[:-1])
                 out["rare"] += [x.tolist() for x in rare]
             columns = [pa.array(np.concatenate(out[k])) for k in ("tokens", "known", "base", "score")]
-            yield pa.record_batch([b[0], b[1], *columns, pa.array(out["rare"], pa.list_(pa.int64()))], names)
+            asked = np.concatenate(out["asked"] or [np.empty(0, np.int64)])
+            edges = np.concatenate(([0], np.cumsum(np.concatenate(out["asks"])))) if out["asks"] else np.zeros(len(b) + 1)
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(asked))
+            yield pa.record_batch([b[0], b[1], *columns, pa.array(out["rare"], pa.list_(pa.int64())), lists], names)
 
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "asked"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rated = docs.select("doc_id", (~learns).alias("held_out"), "text").mapInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    rated = docs.select("doc_id", (~learns).alias("held_out"), "text").mapInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, asked array<long>")
     # A row number that reruns of a task repeat is needed to bring looked-up words back to their row.
     rated = cut(rated.withColumn("__row", F.monotonically_increasing_id()))
     asked = rated.select("__row", F.explode("rare").alias("key")).groupBy("__row", "key").agg(F.count("*").alias("times"))
     rarest = vocabulary.where(F.col("n") < least)
     looked = asked.join(rarest, "key", "left").withColumn("log", F.coalesce(F.log10(F.col("n") + 0.1) - F.lit(scale), F.lit(unseen)))
     summed = looked.groupBy("__row").agg(F.sum(F.col("times") * F.col("log")).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
-    full = rated.drop("rare").join(summed, "__row", "left")
+    full = rated.drop("rare", "asked").join(summed, "__row", "left")
+    score_ = F.col("score")
+    if not whole:
+        asked = rated.select("__row", F.explode("asked").alias("key")).groupBy("__row", "key").agg(F.count("*").alias("times"))
+        priced = looked_up(grams, held, cut(asked.select("key").distinct()), trie, order, entries)
+        sums = asked.join(priced, "key").groupBy("__row").agg(F.sum(F.col("times") * F.col("log")).alias("rest"))
+        full = full.join(sums, "__row", "left")
+        score_ = F.col("score") + F.coalesce("rest", F.lit(0.0))
     return full.select(
         "doc_id",
         "held_out",
@@ -332,5 +402,5 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENT
         (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        score_.alias("score"),
     )

@@ -242,6 +242,15 @@ def test_ppm_against_brute_force(spark, entries, words):
         assert got[i].score < 0
 
 
+@pytest.mark.parametrize("entries", [2000, 900, 60])
+def test_ppm_keeps_its_order_beyond_the_broadcast_entries(spark, entries):
+    data = [(k, prose(random.randint(0, 30))) for k in range(60)] + [(60, "zz qq"), (61, None), (62, "É ñ 𝒳 ß")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    exact = brute_ppm([t for i, t in data if not held(i)], [t for _, t in data], 5)
+    got = {r.doc_id: r.score for r in ppm.score(spark.createDataFrame(data, DOC), common.remainder(F.col("doc_id"), 10) != 0, entries=entries).collect()}
+    assert [got[i] for i, _ in data] == pytest.approx(exact, abs=1e-3)
+
+
 def test_ppm_probabilities_sum_to_one():
     seq, at, _, _ = ppm.sequences(*common.text_bytes(__import__("pyarrow").array(["the cat", "the hat sat", "aé"])))
     grams, n = np.unique(ppm.keys(seq)[ppm.coded(at)], return_counts=True)
