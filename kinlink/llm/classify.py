@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinlink.llm import subword
-from kinlink.llm.common import prepare, text_bytes
+from kinlink.llm.common import arrow, prepare, text_bytes
 
 #: More distinct labels than this are an error: a label column is expected, not free text.
 MAX_CLASSES = 256
@@ -59,7 +59,7 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
             packed = [x.astype("<u4").tobytes() for x, _ in found], [np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found]
             yield pa.record_batch([b[0], pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), b[2]], ["label", "buckets", "counts", "key"])
 
-    sample = texts.mapInArrow(bag, f"label {kind}, buckets binary, counts binary, key long").toArrow().sort_by("key")
+    sample = arrow(texts, bag, f"label {kind}, buckets binary, counts binary, key long").toArrow().sort_by("key")
     bags = [(np.frombuffer(b, "<u4"), np.frombuffer(c, "<u2").astype(np.float32)) for b, c in zip(sample["buckets"].to_pylist(), sample["counts"].to_pylist())]
     place = {k: i for i, k in enumerate(classes)}
     labels = np.array([place[k] for k in sample["label"].to_pylist()], np.int64)
@@ -77,11 +77,10 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
 
 def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
-    found = np.concatenate(([0], np.cumsum(_ASCII_LETTER[buf])))[offsets]
-    out = np.diff(found) > 0
-    for i in np.flatnonzero(~out & (np.diff(offsets) > 0)):
+    out = np.zeros(len(offsets) - 1, bool)
+    for i in np.flatnonzero(np.diff(offsets)):
         own = buf[offsets[i] : offsets[i + 1]]
-        out[i] = bool((own >= 128).any()) and bool(_LETTER.search(own.tobytes().decode("utf-8", "replace")))
+        out[i] = bool(_ASCII_LETTER[own].any()) or bool((own >= 128).any()) and bool(_LETTER.search(own.tobytes().decode("utf-8", "replace")))
     return out
 
 
@@ -101,27 +100,28 @@ def _scored(docs: DataFrame, model: subword.Model, fields: list[tuple[str, T.Dat
             p = subword.softmax(subword.logits(own, buf, offsets) / own.temperature) if own.classes else np.zeros((len(b), 0))
             yield pa.record_batch([*(b[c] for c in range(width) if keep_text or c != at), *answer(p, buf, offsets)], [*names, *(n for n, _ in fields)])
 
-    return docs.mapInArrow(score, schema)
+    return arrow(docs, score, schema)
 
 
-def predict_language(docs: DataFrame, model: subword.Model, keep_text: bool = False) -> DataFrame:
-    """docs (with text) plus lang_pred string, score double and rejected boolean.
+def predict_language(docs: DataFrame, model: subword.Model, keep_text: bool = False, names: tuple[str, ...] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs (with text) plus lang_pred string, score double and rejected boolean, under these or other `names`.
 
-    A null text or one without a letter is `und` with score 0 and rejected, as is every text under a
-    model without classes; other texts get the likeliest label and its calibrated probability, and are
-    rejected under the model's calibrated level. Columns of these names are replaced; an empty
+    A null text or one without a letter is `und` with score 0 and rejected; under a model without classes every text is `und`
+    with score 0, but only those are rejected; other texts get the likeliest label and its calibrated probability, and are
+    rejected under the model's calibrated level. Columns with the names are replaced; an empty
     table gives no rows; lang is never read.
     """
     classes, level = [str(c) for c in model.classes], model.reject
 
     def answer(p: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        known = has_letter(buf, offsets) & bool(classes)
+        lettered = has_letter(buf, offsets)
+        known = lettered & bool(classes)
         best = p.argmax(axis=1) if classes else np.zeros(len(p), int)
         top = np.where(known, p[np.arange(len(p)), best], 0.0) if classes else np.zeros(len(p))
         labels = [classes[k] if ok else "und" for k, ok in zip(best, known)]
-        return [pa.array(labels, pa.string()), pa.array(top, pa.float64()), pa.array(~known | (top < level))]
+        return [pa.array(labels, pa.string()), pa.array(top, pa.float64()), pa.array(~lettered | (known & (top < level)))]
 
-    return _scored(docs, model, [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], answer, keep_text)
+    return _scored(docs, model, list(zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))), answer, keep_text)
 
 
 def predict_toxicity(docs: DataFrame, model: subword.Model, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:

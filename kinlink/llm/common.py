@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python; texts longer than this form a batch of their own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+
+#: Texts are worked on in pieces of about this many bytes, so that a batch or a long text needs no more memory than this times a constant.
+PIECE = 1 << 20
 
 #: ASCII white space of the word definition `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
@@ -40,9 +45,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; also set as the checkpoint folder."""
+    """The folder that driver and executors share; also set as the checkpoint folder.
+
+    Without spark.checkpoint.dir a temporary folder serves where driver and executors are one process; elsewhere that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if named:
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(named)
@@ -69,11 +79,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that cut() has written; results that still read them must have been stored before."""
-    while _written:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def written() -> int:
+    """How many tables cut() has written and release() not deleted: a mark for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables that cut() has written since the mark, but those that `keep` reads; results that
+    still read them must have been stored before."""
+    needed = " ".join(keep.inputFiles()) if keep is not None else ""
+    stay = [p for p in _written[since:] if p.rsplit("/", 1)[1] in needed]
+    for path in _written[since:]:
+        if path not in stay:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written[since:] = stay
+
+
+def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow whose Python worker gives freed memory back to the system when a task ends: workers are used again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def free_name(name: str, df: DataFrame) -> str:
@@ -110,14 +144,46 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def pieces(offsets: np.ndarray, size: int = PIECE) -> list[tuple[int, int]]:
+    """Ranges of texts of about `size` bytes; a longer text is a range of its own."""
+    n, out, lo = len(offsets) - 1, [], 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def word_spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document indices of the maximal runs of bytes with inside[byte], cut at documents."""
-    padded = np.zeros(len(buf) + len(offsets), bool)  # one gap byte after each text
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    padded[np.arange(len(buf)) + doc] = inside[buf]
-    starts, ends = runs(padded)
-    which = np.searchsorted(offsets[1:] + np.arange(1, len(offsets)), starts, side="right")
-    return starts - which, ends - which, which
+    held = inside[buf]
+    first, last = held.copy(), held.copy()
+    first[1:] &= ~held[:-1]
+    last[:-1] &= ~held[1:]
+    border = offsets[(offsets > 0) & (offsets < len(buf))]
+    first[border], last[border - 1] = held[border], held[border - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets[1:], starts, side="right")
+
+
+def joined_words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
+    """The words of the texts, each followed by a blank: the bytes, the words' starts in them and lengths, and the words' texts."""
+    n = len(offsets) - 1
+    padded = np.full(len(buf) + n, 32, np.uint8)
+    at = offsets + np.arange(n + 1)
+    for d in np.flatnonzero(np.diff(offsets)):
+        padded[at[d] : at[d + 1] - 1] = buf[offsets[d] : offsets[d + 1]]
+    held = inside[padded]
+    keep = held.copy()
+    keep[1:] |= held[:-1]
+    first = held.copy()
+    first[1:] &= ~held[:-1]
+    doc = np.searchsorted(at[1:], np.flatnonzero(first), side="right")
+    flat, word = padded[keep], held[keep]
+    flat[~word] = 32
+    ends = np.flatnonzero(~word)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    return flat, starts, ends - starts, doc
 
 
 def gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gap: int = 0, fill: int = 32) -> tuple[np.ndarray, np.ndarray]:

@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.llm.common import LOWER, free_name, gather, prepare, text_bytes, word_spans
+from kinlink.llm.common import LOWER, arrow, joined_words, pieces, prepare, text_bytes, word_spans
 
-#: Bytes of benchmark text whose windows one automaton holds; a larger benchmark is scanned for in slices.
+#: Bytes of benchmark text whose windows one automaton holds; a larger benchmark is several.
 AUTOMATON_BYTES = 2 << 20
 
+#: Bytes of texts that a task passes through one automaton after the other, if there are several.
+CHUNK_BYTES = 16 << 20
+
 #: Bytes of words: digits, a-z (after lower-casing) and everything beyond ASCII.
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -55,25 +58,36 @@ def build(items: list[tuple[object, str | None]], size: int) -> tuple[ahocorasic
     return automaton, list(owners.values())
 
 
-def scan(automaton, owners: list[list], buf: np.ndarray, offsets: np.ndarray):
-    """For each text: number of words, hit word ranges as an (n, 2) array, items, and byte spans in the text."""
-    n = len(offsets) - 1
-    starts, ends, doc = word_table(buf, offsets)
-    flat, at = gather(LOWER[buf], starts, ends - starts, gap=1)
-    words = np.bincount(doc, minlength=n)
-    first = np.cumsum(words) - words
-    for d in range(n):
-        lo, hi = first[d], first[d] + words[d]
-        ranges, found = [], set()
-        if automaton is not None and words[d]:
-            stop = at[hi] if hi < len(at) else len(flat)
-            for end, (k, size) in automaton.iter(" " + flat[at[lo] : stop].tobytes().decode("latin-1")):
-                last = int(np.searchsorted(at[lo:hi], at[lo] + end, side="left"))  # words that start before the window's closing blank
-                ranges.append((last - size, last))
-                found.update(owners[k])
-        hit = merged(ranges)
-        spans = np.stack([starts[lo + hit[:, 0]], ends[lo + hit[:, 1] - 1]], axis=1) - offsets[d] if len(hit) else hit
-        yield int(words[d]), hit, found, spans
+class Texts:
+    """The words of a piece of texts, what was found in them, and how it is told."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        self.offsets = offsets
+        self.starts, self.ends, doc = word_table(buf, offsets)
+        self.flat, self.at, _, _ = joined_words(LOWER[buf], offsets, WORD)
+        self.words = np.bincount(doc, minlength=len(offsets) - 1)
+        self.first = np.cumsum(self.words) - self.words
+        self.ranges: list[list] = [[] for _ in self.words]
+        self.items: list[set] = [set() for _ in self.words]
+
+    def search(self, automaton: ahocorasick.Automaton | None, owners: list[list]) -> None:
+        """Add the word ranges of the automaton's windows, and their items."""
+        if automaton is None:
+            return
+        for d in np.flatnonzero(self.words):
+            lo, hi = self.first[d], self.first[d] + self.words[d]
+            stop = self.at[hi] if hi < len(self.at) else len(self.flat)
+            for end, (k, size) in automaton.iter(" " + self.flat[self.at[lo] : stop].tobytes().decode("latin-1")):
+                last = int(np.searchsorted(self.at[lo:hi], self.at[lo] + end, side="left"))  # words that start before the window's closing blank
+                self.ranges[d].append((last - size, last))
+                self.items[d].update(owners[k])
+
+    def told(self) -> Iterator[tuple[int, np.ndarray, set, np.ndarray]]:
+        """For each text: number of words, hit word ranges as an (n, 2) array, items, and byte spans in the text."""
+        for d, words in enumerate(self.words):
+            hit, lo = merged(self.ranges[d]), self.first[d]
+            spans = np.stack([self.starts[lo + hit[:, 0]], self.ends[lo + hit[:, 1] - 1]], axis=1) - self.offsets[d] if len(hit) else hit
+            yield int(words), hit, self.items[d], spans
 
 
 def merged(ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -90,75 +104,66 @@ def merged(ranges: list[tuple[int, int]]) -> np.ndarray:
 FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.ArrayType(T.LongType())))]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep_text: bool = False) -> DataFrame:
-    """docs (with text) plus n_words, n_hit, items (ids as sorted strings) and spans ([start, stop) bytes of hit runs in the text).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep_text: bool = False, names: tuple[str, ...] = tuple(n for n, _ in FIELDS)) -> DataFrame:
+    """docs (with text) plus n_words, n_hit, items (ids as sorted strings) and spans ([start, stop) bytes of hit runs in the text),
+    under these or other `names`.
 
     A word is hit inside any occurrence of a window: `size` consecutive words of one benchmark (item_id, text) row, or all the
     words of a shorter item. Null or wordless texts have no words; null or wordless items have no windows; items with equal
-    windows all count; a null item_id is the item `null`; columns of these names are replaced; an empty benchmark hits
+    windows all count; a null item_id is the item `null`; columns with the names are replaced; an empty benchmark hits
     nothing and an empty table gives no rows.
 
-    The benchmark is sent to the executors in slices of AUTOMATON_BYTES, each one automaton. Up to that size, the usual
-    case, texts are scanned once and nothing is shuffled; a larger benchmark costs a scan for each slice, the slices'
-    findings being merged by row.
+    Nothing is shuffled. Texts are scanned once, by one automaton of the whole benchmark, while that has at most AUTOMATON_BYTES
+    of text; the windows of a larger one are as many automata as that takes, built one after the other, through which a task passes
+    CHUNK_BYTES of its texts at a time. Results are the same.
     """
-    prepare(docs.sparkSession)
-    docs = docs.drop(*(n for n, _ in FIELDS))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    slices = -(-total // AUTOMATON_BYTES) or 1
-    names, at = docs.columns, docs.columns.index("text")
-    if slices == 1:
-        return _scan_with(docs, items, size, [c for c in names if keep_text or c != "text"], at)
-    row = free_name("row", docs)
-    marked = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    found = None
-    for k in range(slices):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        part = _scan_with(marked.select(row, "text").dropDuplicates([row]), own, size, [row], 1)
-        found = part if found is None else found.unionByName(part)
-
-    def unite(rows: pa.Table) -> pa.Table:
-        spans = merged([tuple(s) for x in rows["spans"].to_pylist() for s in x])
-        items = sorted({i for x in rows["items"].to_pylist() for i in x})
-        return pa.table({row: rows[row][:1], "items": pa.array([items], pa.list_(pa.string())), "spans": pa.array([spans.tolist()], pa.list_(pa.list_(pa.int64())))})
-
-    united = found.groupBy(row).applyInArrow(unite, f"{row} long, items array<string>, spans array<array<bigint>>")
-    whole = marked.join(united, row).drop(row)
-    counted = _count_hits(whole)
-    return counted if keep_text else counted.drop("text")
-
-
-def _scan_with(docs: DataFrame, items: DataFrame, size: int, keep: list[str], at: int) -> DataFrame:
-    names, schema = docs.columns, T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in FIELDS)])
-    shipped = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+    spark = prepare(docs.sparkSession)
+    docs = docs.drop(*names)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null").collect()
+    slices: list[list] = [[]]
+    held = 0
+    for r in items:
+        size_ = len(r[1].encode())
+        if held + size_ > AUTOMATON_BYTES and slices[-1]:
+            slices.append([])
+            held = 0
+        slices[-1].append((r[0], r[1]))
+        held += size_
+    shipped = spark.sparkContext.broadcast(slices)
+    columns, at = docs.columns, docs.columns.index("text")
+    keep = [i for i, c in enumerate(columns) if keep_text or i != at]
+    schema = T.StructType([*(docs.schema[i] for i in keep), *(T.StructField(n, t) for n, (_, t) in zip(names, FIELDS))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, owners = build(shipped.value, size)
-        for b in batches:
-            found = list(scan(automaton, owners, *text_bytes(b[at])))
-            columns = [
-                pa.array([x[0] for x in found], pa.int64()),
-                pa.array([int((x[1][:, 1] - x[1][:, 0]).sum()) for x in found], pa.int64()),
-                pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
-                pa.array([x[3].tolist() for x in found], pa.list_(pa.list_(pa.int64()))),
-            ]
-            yield pa.record_batch([*(b[i] for i, c in enumerate(names) if c in keep), *columns], [*(c for c in names if c in keep), *(n for n, _ in FIELDS)])
-
-    return docs.mapInArrow(find, schema)
-
-
-def _count_hits(rows: DataFrame) -> DataFrame:
-    """n_words and n_hit from text and spans, for findings merged from several slices."""
-    names, at, spans = rows.columns, rows.columns.index("text"), rows.columns.index("spans")
-    schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offsets = text_bytes(b[at])
-            starts, _, doc = word_table(buf, offsets)
-            words = np.bincount(doc, minlength=len(b))
-            hits = [sum(int(((own >= s) & (own < e)).sum()) for s, e in found) for own, found in zip(np.split(starts - offsets[doc], np.cumsum(words)[:-1]), b[spans].to_pylist())]
-            yield pa.record_batch([*b.columns, pa.array(words, pa.int64()), pa.array(hits, pa.int64())], [*names, "n_words", "n_hit"])
-
-    return rows.mapInArrow(count, schema)
+        made = [build(x, size) for x in shipped.value] if len(shipped.value) == 1 else None
+        for chunk in chunks(batches, 0 if made else CHUNK_BYTES):
+            parts = []
+            for b in chunk:
+                buf, offsets = text_bytes(b[at])
+                parts.append([Texts(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in pieces(offsets)])
+            for automaton, owners in made or (build(x, size) for x in shipped.value):
+                for texts in (t for part in parts for t in part):
+                    texts.search(automaton, owners)
+            for b, part in zip(chunk, parts):
+                found = [x for texts in part for x in texts.told()]
+                own = [
+                    pa.array([x[0] for x in found], pa.int64()),
+                    pa.array([int((x[1][:, 1] - x[1][:, 0]).sum()) for x in found], pa.int64()),
+                    pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
+                    pa.array([x[3].tolist() for x in found], pa.list_(pa.list_(pa.int64()))),
+                ]
+                yield pa.record_batch([*(b[i] for i in keep), *own], schema.names)
+
+    return arrow(docs, find, schema)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of at least `size` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import LOWER, SPACE, cut, gather, parts_for, prepare, text_bytes, word_spans
+from kinlink.llm.common import LOWER, SPACE, arrow, cut, joined_words, parts_for, pieces, prepare, text_bytes
 from kinlink.llm.xxh import xxh64
 
 #: Longest context, in bytes.
@@ -23,7 +23,7 @@ ENTRIES = 4_000_000
 WORDS = 1_000_000
 
 #: The symbol of the end of a text and the padding before its start: bytes that UTF-8 words never hold.
-END, PAD = 0xFF, 0x00
+END, PAD = 0xFF, 0xFE
 
 #: Kinds of counted rows.
 GRAM, WORD, TEXTS = 0, 1, 2
@@ -36,17 +36,15 @@ def sequences(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER):
     """
     n = len(offsets) - 1
     low = LOWER[buf]
-    starts, ends, doc = word_spans(low, offsets, ~SPACE)
-    lengths = ends - starts
-    flat, _ = gather(low, starts, lengths, gap=1)
+    flat, starts, lengths, doc = joined_words(low, offsets, ~SPACE)
     own = np.bincount(doc, weights=lengths + 1, minlength=n).astype(np.int64)
     sizes = np.maximum(own, 1) + order
     at = np.concatenate(([0], np.cumsum(sizes)))
-    out = np.zeros(at[-1], np.uint8)
+    out = np.full(at[-1], PAD, np.uint8)
     inside = np.repeat(at[:-1] + order - (np.cumsum(own) - own), own) + np.arange(len(flat))
     out[inside] = flat
     out[at[1:] - 1] = END
-    return out, at, xxh64(low, starts, lengths), doc
+    return out, at, xxh64(flat, starts, lengths), doc
 
 
 def keys(seq: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -209,15 +207,6 @@ def score_texts(trie: Trie, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(offsets: np.ndarray, size: int = 2 << 20) -> list[tuple[int, int]]:
-    n, out, lo = len(offsets) - 1, [], 0
-    while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1))
-        out.append((lo, hi))
-        lo = hi
-    return out
-
-
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     k = np.concatenate([p[0] for p in parts])
     n = np.concatenate([p[1] for p in parts])
@@ -245,7 +234,7 @@ def count(training: DataFrame) -> DataFrame:
         for b in batches:
             buf, offsets = text_bytes(b[0])
             texts += len(b)
-            for lo, hi in chunks(offsets):
+            for lo, hi in pieces(offsets):
                 seq, at, words, _ = sequences(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for kind, found in ((GRAM, keys(seq)[coded(at)]), (WORD, words)):
                     held[kind].append(np.unique(found, return_counts=True))
@@ -258,7 +247,7 @@ def count(training: DataFrame) -> DataFrame:
                 yield rows(kind)
         yield pa.record_batch([pa.array([TEXTS], pa.int8()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["kind", "key", "n"])
 
-    return training.select("text").mapInArrow(tally, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return arrow(training.select("text"), tally, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def least_frequent(counted: DataFrame, most: int) -> int:
@@ -295,7 +284,7 @@ def looked_up(grams: DataFrame, held: int, asked: DataFrame, base: list[Level],
 
     ending = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * short)) - 1))
     rows = grams.unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
-    return rows.repartition(parts_for(grams, held + asked.count(), max(entries // 8, 1 << 16)), ending).mapInArrow(price, "key long, log double")
+    return arrow(rows.repartition(parts_for(grams, held + asked.count(), max(entries // 8, 1 << 16)), ending), price, "key long, log double")
 
 
 def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENTRIES, words: int = WORDS) -> DataFrame:
@@ -349,7 +338,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENT
         for b in batches:
             buf, offsets = text_bytes(b[2])
             out = {k: [] for k in ("tokens", "known", "base", "score", "rare", "asked", "asks")}
-            for lo, hi in chunks(offsets):
+            for lo, hi in pieces(offsets):
                 seq, at, h, doc = sequences(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], order)
                 h = h.view(np.int64)
                 order_ = np.argsort(h)
@@ -380,7 +369,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, entries: int = ENT
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "asked"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rated = docs.select("doc_id", (~learns).alias("held_out"), "text").mapInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, asked array<long>")
+    rated = arrow(docs.select("doc_id", (~learns).alias("held_out"), "text"), rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, asked array<long>")
     # A row number that reruns of a task repeat is needed to bring looked-up words back to their row.
     rated = cut(rated.withColumn("__row", F.monotonically_increasing_id()))
     asked = rated.select("__row", F.explode("rare").alias("key")).groupBy("__row", "key").agg(F.count("*").alias("times"))

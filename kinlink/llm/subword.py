@@ -12,14 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from kinlink.llm.common import LOWER, SPACE
+from kinlink.llm.common import LOWER, SPACE, pieces
 
 #: Odd 32-bit multipliers for rolling and spreading (arbitrary fixed values).
 ROLL, SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
-#: Texts scored at once are cut at about this many bytes.
-CHUNK = 1 << 20
-
 
 @dataclass
 class Shape:
@@ -104,16 +101,6 @@ def bags(buf: np.ndarray, offsets: np.ndarray, shape: Shape) -> list[tuple[np.nd
     return out
 
 
-def pieces(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes; a longer text is a range of its own."""
-    n, out, lo = len(offsets) - 1, [], 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1)
-        out.append((lo, min(hi, n)))
-        lo = min(hi, n)
-    return out
-
-
 def logits(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts x classes, before the temperature; a text without n-grams has those of the classes' shares."""
     out = np.zeros((len(offsets) - 1, len(model.classes)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import prepare
+from kinlink.llm.common import arrow, prepare
 
 #: A vocabulary file larger than this is not sent to the executors.
 MODEL_LIMIT = 64 << 20
@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
         for b in batches:
             yield pa.record_batch([b[0], pa.array(count(b[1].to_pylist()), pa.int64())], ["content_digest", "n_tokens"])
 
-    fresh = texts.mapInArrow(encode, "content_digest binary, n_tokens long").withColumn("tokenizer_digest", F.lit(version))
+    fresh = arrow(texts, encode, "content_digest binary, n_tokens long").withColumn("tokenizer_digest", F.lit(version))
     fresh.select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path, version)
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content_digest"))

@@ -194,7 +194,7 @@ def brute_ppm(train, texts, order):
     code = lambda t: b" ".join((t or "").encode().translate(bytes(common.LOWER.tolist())).split()) + b"\xff"
     counts: dict = {}
     for t in train:
-        s = bytes(order) + code(t)
+        s = b"\xfe" * order + code(t)
         for i in range(order, len(s)):
             for k in range(order + 1):
                 own = counts.setdefault(s[i - k : i], {})
@@ -214,12 +214,12 @@ def brute_ppm(train, texts, order):
             gone = set(seen)
         return out - np.log10(256 - len(gone))
 
-    return [sum(log(s[i - order : i], s[i]) for i in range(order, len(s))) for s in (bytes(order) + code(t) for t in texts)]
+    return [sum(log(s[i - order : i], s[i]) for i in range(order, len(s))) for s in (b"\xfe" * order + code(t) for t in texts)]
 
 
 @pytest.mark.parametrize("entries,words", [(10**6, 10**6), (900, 10)])
 def test_ppm_against_brute_force(spark, entries, words):
-    data = [(k, prose(random.randint(0, 30))) for k in range(60)] + [(i and i + 100, t) for i, t in AWKWARD if t != "\u0000 b"]
+    data = [(k, prose(random.randint(0, 30))) for k in range(60)] + [(i and i + 100, t) for i, t in AWKWARD]
     held = [d for d in data if d[0] is None or zlib.crc32(str(d[0]).encode()) % 10 == 0]
     train = [d[1] for d in data if d not in held]
     df = spark.createDataFrame(data, DOC)
@@ -229,7 +229,7 @@ def test_ppm_against_brute_force(spark, entries, words):
     n, v = len(learned) + len(train), len(set(learned)) + 1
     count = {w: learned.count(w) for w in set(learned)} | {None: len(train)}
     order = 5
-    exact = brute_ppm(train, [t for _, t in data], order) if entries == 10**6 else None
+    exact = brute_ppm(train, [t for _, t in data], order)
     for k, (i, t) in enumerate(data):
         if i is None:
             continue
@@ -237,8 +237,7 @@ def test_ppm_against_brute_force(spark, entries, words):
         assert got[i].n_tokens == len(own) and got[i].train_tokens == n and got[i].n_known == sum(count.get(w, 0) > 0 for w in own)
         assert got[i].base_score == pytest.approx(sum(np.log10((count.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel=1e-9)
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
-        if exact:
-            assert got[i].score == pytest.approx(exact[k], abs=1e-3)
+        assert got[i].score == pytest.approx(exact[k], abs=1e-3)
         assert got[i].score < 0
 
 
@@ -255,7 +254,7 @@ def test_ppm_probabilities_sum_to_one():
     seq, at, _, _ = ppm.sequences(*common.text_bytes(__import__("pyarrow").array(["the cat", "the hat sat", "aé"])))
     grams, n = np.unique(ppm.keys(seq)[ppm.coded(at)], return_counts=True)
     trie = ppm.Trie(ppm.levels(grams, n, 5))
-    for context in (b"\0\0\0\0\0", b"the c", b"he ha", b"zzzzz", b"at at"):
+    for context in (b"\xfe" * 5, b"the c", b"he ha", b"zzzzz", b"at at"):
         base = np.uint64(int.from_bytes(context, "big") << 8)
         assert (10 ** trie.logs(base | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-5)
 
@@ -345,11 +344,9 @@ def test_decontamination_against_brute_force(spark, monkeypatch, bound):
     data += [(i and i + 100, t) for i, t in AWKWARD] + [(60, "x É SOLO y"), (61, items[4][1][:40]), (62, items[1][1] + items[1][1])]
     found = decontaminate.decontaminate(spark.createDataFrame(data, DOC), spark.createDataFrame(items, "item_id long, text string"), keep_text=True).collect()
     want = brute_hits(data, [("null" if i is None else i, t) for i, t in items])
-    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found), key=str) == want or bound < 1000
-    if bound < 1000:  # slices: rows without findings have none
-        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"] or []) for r in found), key=str) == want
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found), key=str) == want
     for r in found:
-        for a, b in r.spans or []:
+        for a, b in r.spans:
             assert r.text.encode()[a:b].decode().strip()
 
 
