@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -14,55 +14,48 @@ def escape(text: Column) -> Column:
 
 
 def speaker_of(role: Column) -> Column:
-    """The role without outer blanks; null or blank is `unknown`."""
-    return F.coalesce(F.nullif(F.trim(role), F.lit("")), F.lit("unknown"))
+    """The role without outer blanks; null or blank is the empty name, which no role has."""
+    return F.coalesce(F.trim(role), F.lit(""))
 
 
-def rotate(conversations: DataFrame, max_turns: int = 256) -> DataFrame:
-    """One row per conversation part and participant: the dialogue with that speaker as the assistant.
+def named(who: Column) -> Column:
+    """The name of a speaker in a header: backslashes doubled, line ends as `\\n`, so that different names stay different and end at the line."""
+    return escape(F.replace(F.replace(who, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
 
-    Columns: conv_id, part, perspective, n_turns, n_target_turns, rendered, masks (array of
-    [start, stop) character ranges of rendered that the loss covers: the assistant's words and
-    their end marker). Every distinct speaker but `system` is a participant in all parts of the
-    conversation; the others stand as `user name=...`, system turns as `system`. A part holds the turns of one
-    max_turns-wide range of turn numbers, so that no dialogue, however long, is one value. Turns are
-    ordered by turn, then role, then text; repeated rows stay; a null turn number comes first, in a part of
-    null; a null text is empty; a null conv_id is a conversation like any other. A conversation of
-    system turns only, or an empty table, gives no rows. Other columns are ignored.
+
+def head(label: Column) -> Column:
+    return F.concat(F.lit(OPEN), label, F.lit("\n"))
+
+
+def rotate(conversations: DataFrame) -> DataFrame:
+    """One row per conversation and participant: the whole dialogue with that speaker as the assistant.
+
+    Columns: conv_id, perspective, n_turns, n_target_turns, rendered, masks (array of [start, stop) character ranges of rendered that the
+    loss covers: the assistant's words and their end marker). Every distinct speaker but `system` is a participant; the others stand as
+    `user name=...`, system turns as `system`. Turns are ordered by turn, then role, then text; repeated rows stay; a null turn number comes
+    first; a null text is empty; a null or blank role is the speaker of the empty name; a null conv_id is a conversation like any other. A
+    conversation of system turns only, or an empty table, gives no rows. Other columns are ignored. A rendered dialogue is one
+    value and so has at most 2 GB.
+
+    A turn's place is a running sum over the conversation with every speaker as a user, and a participant's own turns move it by
+    the difference of the two headers each: one shuffle and one sort by conversation serve all perspectives, in time linear in the output.
     """
-    turns = conversations.select(
-        "conv_id",
-        F.floor(F.col("turn") / max_turns).cast("long").alias("part"),
-        F.struct(F.col("turn"), speaker_of(F.col("role")).alias("who"), F.coalesce("text", F.lit("")).alias("text")).alias("said"),
-    )
-    people = turns.select("conv_id", F.col("said.who").alias("perspective")).where("perspective <> 'system'").distinct()
-    people = people.withColumn("__id", F.struct(F.coalesce("conv_id", F.lit(0)), F.col("conv_id").isNull())).drop("conv_id")
-    parts = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("said")).alias("said"))
-    parts = parts.withColumn("__id", F.struct(F.coalesce("conv_id", F.lit(0)), F.col("conv_id").isNull()))
-    views = parts.join(people, "__id")
-
-    name = lambda who: escape(F.regexp_replace(who, r"[\x00-\x20]+", "_"))
-    head = lambda s: F.concat(
-        F.lit(OPEN),
-        F.when(s.who == F.col("perspective"), F.lit("assistant")).when(s.who == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), name(s.who))),
-        F.lit("\n"),
-    )
-    pieces = F.transform("said", lambda s: F.struct(head(s).alias("head"), F.concat(escape(s.text), F.lit(CLOSE)).alias("body"), (s.who == F.col("perspective")).alias("own")))
-    views = views.withColumn("pieces", pieces)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("masks"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc.at + F.length(p.head)
-        end = begin + F.length(p.body)
-        mask = F.array(F.struct(begin.alias("start"), end.alias("stop")))
-        return F.struct((end + 1).alias("at"), F.when(p.own, F.concat(acc.masks, mask)).otherwise(acc.masks).alias("masks"))
-
-    return views.select(
-        "conv_id",
-        "part",
-        "perspective",
-        F.size("pieces").alias("n_turns"),
-        F.size(F.filter("pieces", lambda p: p.own)).alias("n_target_turns"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body, F.lit("\n"))), "").alias("rendered"),
-        F.aggregate("pieces", start, step)["masks"].alias("masks"),
-    )
+    label = lambda who: F.when(who == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), named(who)))
+    said = conversations.select("conv_id", "turn", speaker_of(F.col("role")).alias("who"), F.coalesce("text", F.lit("")).alias("text"))
+    said = said.select("*", head(label(F.col("who"))).alias("head"), F.concat(escape(F.col("text")), F.lit(CLOSE)).alias("body"))
+    order = [F.col("turn").asc_nulls_first(), "who", "text"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("head") + F.length("body") + 1).over(before), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "who").orderBy(*order)) - 1
+    placed = said.select("conv_id", F.struct("turn", "who", "text", "head", "body", at.alias("at"), nth.alias("nth")).alias("said"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    people = F.array_except(F.array_distinct(F.transform("said", lambda s: s.who)), F.array(F.lit("system")))
+    views = whole.select("conv_id", "said", F.explode(people).alias("perspective"))
+
+    own = head(F.lit("assistant"))
+    shift = F.length(own) - F.length(head(label(F.col("perspective"))))
+    start = lambda s: s["at"] + s.nth * shift + F.length(own)
+    mine = F.filter("said", lambda s: s.who == F.col("perspective"))
+    masks = F.transform(mine, lambda s: F.struct(start(s).cast("int").alias("start"), (start(s) + F.length(s.body)).cast("int").alias("stop")))
+    turns = F.transform("said", lambda s: F.concat(F.when(s.who == F.col("perspective"), own).otherwise(s["head"]), s.body, F.lit("\n")))
+    return views.select("conv_id", "perspective", F.size("said").alias("n_turns"), F.size(mine).alias("n_target_turns"), F.array_join(turns, "").alias("rendered"), masks.alias("masks"))

@@ -74,22 +74,21 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_perspectives"] = r"""
-WITH turns AS (
-  SELECT conv_id, floor(turn / 256.0)::BIGINT AS part, turn, coalesce(nullif(trim(role), ''), 'unknown') AS who, coalesce(text, '') AS text FROM conversations),
+WITH turns AS (SELECT conv_id, turn, coalesce(trim(role), '') AS who, coalesce(text, '') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, who AS perspective FROM turns WHERE who <> 'system'),
 pieces AS (
-  SELECT t.conv_id, t.part, p.perspective, t.turn, t.who, t.text, t.who = p.perspective AS own,
+  SELECT t.conv_id, p.perspective, t.turn, t.who, t.text, t.who = p.perspective AS own,
          '<|im_start|>' || CASE WHEN t.who = p.perspective THEN 'assistant' WHEN t.who = 'system' THEN 'system'
-           ELSE 'user name=' || regexp_replace(regexp_replace(t.who, '[\x00-\x20]+', '_', 'g'), '<(\\*)\|', '<\\\1|', 'g') END || chr(10) AS head,
+           ELSE 'user name=' || regexp_replace(replace(replace(t.who, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') END || chr(10) AS head,
          regexp_replace(t.text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' AS body
   FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS FIRST, who, text
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, who, text
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM pieces)
-SELECT conv_id, part, perspective, count(*)::INT AS n_turns, count(*) FILTER (own)::INT AS n_target_turns,
+SELECT conv_id, perspective, count(*)::INT AS n_turns, count(*) FILTER (own)::INT AS n_target_turns,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, who, text) AS rendered,
        coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(body))::VARCHAR, ',' ORDER BY pos) FILTER (own), '') AS masks
-FROM placed GROUP BY conv_id, part, perspective
+FROM placed GROUP BY conv_id, perspective
 """
 
 
