@@ -1,7 +1,14 @@
-"""Embedding near-dedup by collision counting over sorted one-dimensional projections."""
+"""Embedding near-dedup by collision counting over sorted one-dimensional projections.
+
+Two vectors collide on a projection if one lies in the window centred at the other. Unit vectors that are alike collide on most
+projections, others on few, so pairs that collide often enough are verified and the others are not. So that not every pair need be
+counted, vectors are dealt to cells first: a group of leading projections, each cut in ranges of a random offset, says who meets whom,
+and there are so many groups that a pair at the threshold shares a cell of one of them almost surely.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,22 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import cut, prepare
+from kinlink.llm.common import arrow, cut, parts_for, prepare, release_shuffles
 from kinlink.llm.components import components, forest
 
-#: Vectors of one block; blocks are compared two at a time.
+#: Rows of a cell that are counted at once; a fuller cell is cut into blocks, and each pair of blocks is a task's piece of work.
 BLOCK = 2048
 
-#: Vectors of one range of the leading projection, cut into blocks in memory.
-SLAB = 16384
-
-#: Bytes of block boxes that are broadcast; with more blocks, blocks get larger.
-BOX_BYTES = 64 << 20
-
-#: Projections, and how often two vectors at the threshold must pass the count.
+#: Projections that are counted; each share of pairs at the threshold that has to pass the count, and to meet in a cell.
 PROJECTIONS = 32
 RECALL = 0.999
 
+#: Vectors that meet one of their group's cells by chance.
+CHANCE = 256
+
+#: Groups dealt out at once, which bounds the disk: each takes about the size of the vectors. Rows of one task.
+GROUPS_AT_ONCE = 4
+TASK_ROWS = 50_000
+
 
 @lru_cache
 def directions(dim: int, count: int = PROJECTIONS, seed: int = 5) -> np.ndarray:
@@ -34,49 +42,77 @@ def directions(dim: int, count: int = PROJECTIONS, seed: int = 5) -> np.ndarray:
     return a / np.linalg.norm(a, axis=0)
 
 
+def apart(dim: int, threshold: float, n: int = 4096) -> np.ndarray:
+    """Differences of pairs of unit vectors right at the threshold: length sqrt(2 - 2t), any direction."""
+    d = np.random.default_rng([9, dim]).normal(size=(n, dim))
+    return d * (np.sqrt(max(2 - 2 * threshold, 1e-12)) / np.linalg.norm(d, axis=1, keepdims=True))
+
+
 @lru_cache
 def calibrated(dim: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """The half-width of the window in quantisation steps, and the collisions that a pair must reach.
 
-    Two unit vectors of cosine t differ by a vector of length sqrt(2 - 2t); on a random direction the difference has the
-    spread sqrt((2 - 2t) / dim), which is the half-width. Differences of that length in random directions are projected on
-    the very directions used, and the count is the largest that the share `recall` of them reaches.
+    On a random direction a pair at the threshold differs by about sqrt((2 - 2t) / dim), which is the half-width. Differences of such pairs
+    are projected on the very directions used, and the count is the largest that the share `recall` of them reaches.
     """
-    length = np.sqrt(max(2 - 2 * threshold, 1e-12))
-    width = length / np.sqrt(dim)
-    d = np.random.default_rng([9, dim]).normal(size=(8192, dim))
-    d *= length / np.linalg.norm(d, axis=1, keepdims=True)
-    hits = (np.abs(d @ directions(dim)) <= width).sum(axis=1)
+    width = np.sqrt(max(2 - 2 * threshold, 1e-12) / dim)
+    hits = (np.abs(apart(dim, threshold) @ directions(dim)) <= width).sum(axis=1)
     step = 8 / np.sqrt(dim) / 256
     return int(np.floor(width / step)) + 1, max(1, int(np.quantile(hits, 1 - recall, method="lower")))
 
 
-def quantised(vectors: np.ndarray) -> np.ndarray:
+@lru_cache
+def grouping(dim: int, threshold: float, rows: int, recall: float = RECALL) -> tuple[int, int, float]:
+    """(projections of a group, groups, range width): groups get longer with the logarithm of the rows, so that CHANCE vectors
+    meet by chance, and there are so many that pairs at the threshold share a cell of one with probability `recall`."""
+    width = 4 * np.sqrt(max(2 - 2 * threshold, 1e-12) / dim)
+    x = np.random.default_rng([11, dim]).normal(size=(4096, 2, dim))
+    x /= np.linalg.norm(x, axis=2, keepdims=True)
+    one = directions(dim, 1, 13)[:, 0]
+    together = lambda d: np.maximum(1 - np.abs(d) / width, 0).mean()  # noqa: E731  over random offsets
+    random, alike = together((x[:, 0] - x[:, 1]) @ one), together(apart(dim, threshold) @ one)
+    length = int(np.clip(np.ceil(np.log(max(rows, 1) / CHANCE) / -np.log(max(random, 1e-9))), 1, 32))
+    share = alike**length
+    return length, max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(share, 1 - 1e-9))))), width
+
+
+def cells(v: np.ndarray, length: int, groups: int, width: float) -> np.ndarray:
+    """(rows, groups) uint32: the cell of each unit vector in each group, as a hash of its ranges."""
+    dim = v.shape[1]
+    offsets = np.random.default_rng([17, dim]).uniform(0, width, length * groups)
+    at = np.floor((v @ directions(dim, length * groups, 19) + offsets) / width).astype(np.int64).view(np.uint64)
+    out = np.zeros((len(v), groups), np.uint64)
+    for k in range(length):
+        out = (out ^ at[:, k::length][:, :groups]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def quantised(v: np.ndarray) -> np.ndarray:
     """Projections of unit vectors in 256 steps over +-4 standard widths; the rest is clipped, which brings no pair apart."""
-    dim = vectors.shape[1]
-    return np.clip(np.floor((vectors @ directions(dim)) * (np.sqrt(dim) * 32)) + 128, 0, 255).astype(np.uint8)
-
-
-def unit(raw: list[bytes], dim: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dim)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+    dim = v.shape[1]
+    return np.clip(np.floor((v @ directions(dim)) * (np.sqrt(dim) * 32)) + 128, 0, 255).astype(np.uint8)
 
 
 def collisions(a: np.ndarray, b: np.ndarray, half: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) that lie in each other's window on at least `least` projections."""
+    """Pairs (row of a, row of b) that lie in each other's window on at least `least` projections.
+
+    b is sorted by each projection in turn; the window of a row of a is a range of the sorted list, whose rows it collides with.
+    """
     left, right = [], []
-    columns = np.ascontiguousarray(b.T)
-    for lo in range(0, len(a), 128):
-        rows = a[lo : lo + 128]
-        count = np.zeros((len(rows), len(b)), np.uint8)
-        gap = np.empty_like(count)
-        for k in range(rows.shape[1]):
-            x, y = rows[:, k, None], columns[k][None, :]
-            np.subtract(np.maximum(x, y, out=gap), np.minimum(x, y), out=gap)
-            count += (gap <= half).view(np.uint8)
-        i, j = np.nonzero(count >= least)
-        left.append(i + lo)
-        right.append(j)
+    lists = [(order := np.argsort(b[:, k], kind="stable"), b[order, k].astype(np.int16)) for k in range(b.shape[1])]
+    rows = max(1, (1 << 20) // max(len(b), 1))
+    for lo in range(0, len(a), rows):
+        own = a[lo : lo + rows].astype(np.int16)
+        count = np.zeros(len(own) * len(b), np.uint8)
+        for k, (order, values) in enumerate(lists):
+            first, last = np.searchsorted(values, own[:, k] - half), np.searchsorted(values, own[:, k] + half, side="right")
+            size = last - first
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+            count[order[place] + np.repeat(np.arange(len(own)) * len(b), size)] += 1  # a row is once in a window
+        hit = np.flatnonzero(count >= least)
+        left.append(hit // len(b) + lo)
+        right.append(hit % len(b))
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -89,19 +125,9 @@ def linked(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold
     return out
 
 
-def split(points: np.ndarray, size: int) -> list[np.ndarray]:
-    """Row numbers in blocks of at most `size`, halved again and again across the widest projection."""
-    todo, out = [np.arange(len(points))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= size:
-            out.append(rows)
-            continue
-        own = points[rows]
-        k = int(np.argmax(own.max(axis=0).astype(int) - own.min(axis=0)))
-        order = rows[np.argsort(own[:, k], kind="stable")]
-        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
-    return out
+def unit(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
+    v = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -110,103 +136,119 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     Rows whose cosine reaches the threshold are linked; n_links counts other rows linked directly, component_id is the
     smallest vec_id reachable, and a row is kept if that is its own. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null vec_id, link with nothing; vectors of different lengths neither.
-    Equal vectors are one class with a size, so copies in any number cost one row. Classes are sorted by their
-    leading projection into slabs, and slabs into blocks; blocks whose boxes cannot collide often enough are not
-    compared, the others count collisions per pair, and pairs that reach the calibrated count are verified. Each block
-    pair hands on link counts per class and a spanning forest, never all pairs. Other columns are ignored; an
-    empty table gives no rows.
+    Other columns are ignored; an empty table gives no rows.
+
+    Equal vectors (but for a power of two) are one class with a size, known by a digest, so copies in any number cost one row. A class goes to
+    a cell of every group; pairs in a cell count collisions in sorted projections, and those that reach the calibrated count are verified.
+    A pair counts in the first group that it shares a cell of. Tasks hand on link counts per class and spanning forests, never pairs.
     """
     spark = prepare(vectors.sparkSession)
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    wide = int(kind[2])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axis = lru_cache(lambda dim: directions(dim)[:, 0])
         for b in batches:
-            packed, lead = [], []
+            packed, digest = [], []
             for v, known in zip(b[1].to_pylist(), b[0].is_valid().to_pylist()):
                 x = np.array([np.nan if c is None else c for c in v], np.float64) if v and known else np.zeros(1)
                 good = np.isfinite(x).all() and x.any()
-                x = x / np.abs(x).max() if good else x  # large and small components stay finite when squared
-                packed.append(x.astype("<f8").tobytes() if good else None)
-                lead.append(float(x @ axis(len(x)) / np.linalg.norm(x)) if good else None)
-            yield pa.record_batch([b[0].cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(lead, pa.float64())], ["vec_id", "raw", "lead"])
-
-    rows = cut(vectors.select("vec_id", "embedding").mapInArrow(pack, "vec_id long, raw binary, lead double"))
-    classes = cut(rows.where("raw is not null").groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("lead").alias("lead")))
+                # Scaled by a power of two, which is exact, large and small components stay finite when squared.
+                raw = np.ldexp(x, -np.frexp(np.abs(x).max())[1]).astype(kind).tobytes() if good else None
+                packed.append(raw)
+                digest.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
+            yield pa.record_batch([b[0].cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(digest, pa.binary())], ["vec_id", "raw", "digest"])
+
+    rows = cut(arrow(vectors.select("vec_id", "embedding"), pack, "vec_id long, raw binary, digest binary"))
+    good = rows.where("digest is not null")
+    classes = cut(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw")))
     total = classes.count()
-    size = BLOCK
-    while total // size * 2 * (PROJECTIONS + 16) > BOX_BYTES:
-        size *= 2
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not len(table):
-            return
-        raw = table["raw"].to_pylist()
-        rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
-        lengths = np.array([len(r) for r in raw])
-        for width in np.unique(lengths):
-            own = np.flatnonzero(lengths == width)
-            points = quantised(unit([raw[i] for i in own], int(width) // 8))
-            for part in split(points, size):
-                q = points[part]
-                at = own[part]
-                out = {"id": [int(rep[at].min())], "dim": [int(width) // 8], "raw": [b"".join(raw[i] for i in at)], "reps": [rep[at].astype("<i8").tobytes()]}
-                out |= {"sizes": [n[at].astype("<i8").tobytes()], "low": [q.min(axis=0).tobytes()], "high": [q.max(axis=0).tobytes()]}
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("raw", "reps", "sizes", "low", "high"))]))
-
-    schema = "id long, dim int, raw binary, reps binary, sizes binary, low binary, high binary"
-    slabs = classes.select("raw", "rep", "n", "lead").repartitionByRange(max(1, -(-total // max(SLAB, size))), "lead", "rep").drop("lead")
-    blocks = cut(slabs.mapInArrow(block, schema))
-    boxes = [(r.id, r.dim, np.frombuffer(r.low, np.uint8), np.frombuffer(r.high, np.uint8)) for r in blocks.select("id", "dim", "low", "high").toLocalIterator()]
-    shipped = spark.sparkContext.broadcast(boxes)
-
-    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, dims = np.array([x[0] for x in shipped.value]), np.array([x[1] for x in shipped.value])
-        low, high = (np.array([x[k] for x in shipped.value], np.int16) for k in (2, 3))
-        for b in batches:
-            a, to = [], []
-            for own, dim in zip(b[0].to_pylist(), b[1].to_pylist()):
-                half, least = calibrated(dim, threshold)
-                k = int(np.flatnonzero(ids == own)[0])
-                meets = (np.maximum(low[k], low) - np.minimum(high[k], high) <= half).sum(axis=1) >= least
-                other = ids[meets & (dims == dim)]
-                mine = other[((other + own) % 2 == 0) == (own < other)]  # each pair falls to one of its blocks, to either as often
-                a += [own, *mine.tolist()]
-                to += [own] * (len(mine) + 1)
-            yield pa.record_batch([pa.array(to, pa.int64()), pa.array(a, pa.int64())], ["at", "id"])
-
-    pairs = blocks.select("id", "dim").mapInArrow(partners, "at long, id long").distinct()
-    work = pairs.join(blocks.drop("low", "high"), "id").withColumn("own", F.col("id") == F.col("at"))
-    work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(boxes)), "at").sortWithinPartitions("at", F.desc("own")).select("own", "dim", "raw", "reps", "sizes")
+    dims = [r[0] // wide for r in classes.select(F.length("raw")).distinct().limit(1001).collect()]
+    if len(dims) > 1000:
+        raise ValueError("vectors of more than 1000 different lengths")
+    most = max([grouping(d, threshold, total)[1] for d in dims], default=0)
+
+    def dealt(first: int) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw = b[2].to_pylist()
+                lengths = np.array([len(x) for x in raw])
+                for size in np.unique(lengths):
+                    own, dim = np.flatnonzero(lengths == size), int(size) // wide
+                    length, groups, width = grouping(dim, threshold, total)
+                    at = cells(unit([raw[i] for i in own], dim, kind), length, groups, width)
+                    some = [g for g in range(first, min(first + GROUPS_AT_ONCE, groups))]
+                    if not some:
+                        continue
+                    who = np.repeat(own, len(some))
+                    group = np.tile(np.array(some), len(own))
+                    cell = at[:, some].ravel().astype(np.int64) << 32 | group << 16 | dim & 0xFFFF
+                    all_cells = pa.array([x.tobytes() for x in at], pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), len(some))))
+                    pick = pa.array(who)
+                    yield pa.record_batch([pa.array(cell), pa.array(group.astype(np.int32)), b[0].take(pick), b[1].take(pick), b[2].take(pick), all_cells], ["cell", "group", "rep", "n", "raw", "cells"])
+
+        return arrow(classes.select("rep", "n", "raw"), deal, "cell long, group int, rep long, n long, raw binary, cells binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = None
-        for batch in batches:
-            for own, dim, raw, reps, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-                v = unit([raw], dim)
-                it = v, quantised(v), np.frombuffer(reps, "<i8"), np.frombuffer(sizes, "<i8")
-                if own:
-                    mine = it
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        cell, other, block, rep, n = (table[c].to_numpy() for c in ("cell", "other", "block", "rep", "n"))
+        group, raw, every = table["group"].to_numpy(), table["raw"], table["cells"]
+        order = np.lexsort((block, other, cell))
+        edges = np.flatnonzero(np.concatenate(([True], (np.diff(cell[order]) != 0) | (np.diff(other[order]) != 0), [True])))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            at = order[lo:hi]
+            if len(at) < 2:
+                continue
+            vectors_ = raw.take(pa.array(at)).to_pylist()
+            for size in np.unique([len(x) for x in vectors_]):
+                own = np.flatnonzero([len(x) == size for x in vectors_])
+                where, dim = at[own], int(size) // wide
                 half, least = calibrated(dim, threshold)
-                i, j = collisions(mine[1], it[1], half, least)
-                if own:
+                v = unit([vectors_[i] for i in own], dim, kind)
+                q = quantised(v)
+                here = np.frombuffer(b"".join(every.take(pa.array(where)).to_pylist()), np.uint32).reshape(len(own), -1)
+                first_, second = other[where[0]] >> 32, other[where[0]] & 0xFFFFFFFF
+                alone = first_ == second
+                a, b = np.flatnonzero(block[where] == first_), np.flatnonzero(block[where] == second)
+                i, j = collisions(q[a], q[b], half, least)
+                i, j = a[i], b[j]
+                if alone:
                     i, j = i[i < j], j[i < j]
-                good = linked(mine[0], it[0], i, j, threshold)
-                i, j = i[good], j[good]
+                good_ = linked(v, v, i, j, threshold)
+                i, j = i[good_], j[good_]
+                new = ~(here[i, : group[where[0]]] == here[j, : group[where[0]]]).any(axis=1)
+                i, j = i[new], j[new]
                 if not len(i):
                     continue
-                x, y = forest(mine[2][i], it[2][j])
-                a = np.bincount(i, weights=it[3][j], minlength=len(mine[2])).astype(np.int64)
-                b = np.bincount(j, weights=mine[3][i], minlength=len(it[2])).astype(np.int64)
-                ids, counts = np.concatenate([mine[2][a > 0], it[2][b > 0]]), np.concatenate([a[a > 0], b[b > 0]])
-                end = pa.array(np.concatenate([y, np.zeros(len(ids), np.int64)]), mask=np.arange(len(y) + len(ids)) >= len(y))
-                yield pa.record_batch([pa.array(np.concatenate([x, ids])), end, pa.array(np.concatenate([np.zeros(len(x), np.int64), counts]))], ["a", "b", "n"])
-
-    found = cut(work.mapInArrow(compare, "a long, b long, n long"))
+                ids, sizes = rep[where], n[where]
+                x, y = forest(ids[i], ids[j])
+                links = np.bincount(i, weights=sizes[j], minlength=len(ids)) + np.bincount(j, weights=sizes[i], minlength=len(ids))
+                some = np.flatnonzero(links)
+                end = pa.array(np.concatenate([y, np.zeros(len(some), np.int64)]), mask=np.arange(len(y) + len(some)) >= len(y))
+                yield pa.record_batch([pa.array(np.concatenate([x, ids[some]])), end, pa.array(np.concatenate([np.zeros(len(x), np.int64), links[some].astype(np.int64)]))], ["a", "b", "n"])
+
+    found = None
+    for first in range(0, most, GROUPS_AT_ONCE):
+        every = dealt(first)
+        full = cut(every.groupBy("cell").count().where(F.col("count") > BLOCK))
+        every = every.withColumns({"other": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
+        if not full.isEmpty():
+            # A row of a full cell is in one of its blocks and meets each block; `other` holds both numbers, the smaller one above.
+            every = every.join(full, "cell", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)))
+            every = every.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks")).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            every = every.withColumn("other", F.shiftleft(F.least("block", "to"), 32).bitwiseOR(F.greatest("block", "to"))).drop("count", "blocks", "to")
+        every = every.repartition(parts_for(classes, total * GROUPS_AT_ONCE, TASK_ROWS), "cell", "other")
+        part = cut(arrow(every, compare, "a long, b long, n long"))
+        release_shuffles(spark)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "a long, b long, n long")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
-    known = classes.join(counts, classes.rep == counts.a, "left").join(joined, classes.rep == joined.id, "left")
-    known = known.select("raw", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    full = rows.drop("lead").join(known, "raw", "left")
-    own = F.coalesce("component_id", "vec_id")
-    return full.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
+    known = classes.select("digest", "rep", "n").join(counts, F.col("rep") == counts.a, "left").join(joined, F.col("rep") == joined.id, "left")
+    known = known.select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked_ = good.select("vec_id", "digest").join(known, "digest").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = rows.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked_.unionByName(alone)

@@ -88,9 +88,11 @@ def brute_links(vectors, t=0.95):
     return {i: (n[i], top(i) if i in parent else i) for i in ids}
 
 
-def test_embeddings_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embed, "BLOCK", 32)
-    monkeypatch.setattr(embed, "SLAB", 64)
+@pytest.mark.parametrize("block", [2048, 8])
+def test_embeddings_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embed, "BLOCK", block)
+    monkeypatch.setattr(embed, "CHANCE", 16)
+    embed.grouping.cache_clear()
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 24))
     data = [(k, (centres[k % 12] + rng.normal(size=24) * (0.05 + 0.3 * (k % 5))).tolist()) for k in range(240)]
@@ -102,6 +104,32 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_embeddings_recall_at_the_dimension_of_the_table(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1500, 64))
+    w = v + rng.normal(size=v.shape) * (np.linalg.norm(v, axis=1) * 0.32 / 8)[:, None]  # cosines around 0.95
+    x = np.concatenate([v, w])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.95).sum() - len(u)
+    embed.grouping.cache_clear()
+    data = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in embed.near_duplicates(data).collect())
+    assert want > 1000 and 0.99 * want <= got <= want
+
+
+def test_embedding_work_grows_less_than_pairs():
+    shares = [embed.grouping(64, 0.95, n) for n in (10**4, 10**6, 10**9)]
+    assert all(a[1] * embed.CHANCE / n > b[1] * embed.CHANCE / m for a, b, n, m in zip(shares, shares[1:], (10**4, 10**6), (10**6, 10**9)))
+
+
+def test_collision_windows_equal_their_definition():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 256, (40, 32), dtype=np.uint8), rng.integers(0, 256, (50, 32), dtype=np.uint8)
+    i, j = embed.collisions(a, b, 60, 14)
+    near = (np.abs(a[:, None].astype(int) - b[None].astype(int)) <= 60).sum(axis=2) >= 14
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
+
+
 def test_embeddings_awkward(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed.near_duplicates(none).count() == 0
@@ -413,17 +441,21 @@ def test_tokens_of_json_vocabulary(spark, tmp_path):
 
 def test_perspectives_round_trip(spark):
     said = [(1, 0, "user", "hi <|im_end|> <\\|"), (1, 1, "assistant", None), (1, 1, "bob smith", "tie"), (1, 2, "user", "bye\n"), (2, 0, "system", "rules"), (None, 5, None, "lost"), (3, None, "a", "x"), (3, 600, "b", "y"), (3, 600, "b", "y")]
-    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("own"))
+    said += [(4, k, who, str(k)) for k, who in enumerate(["a b", "a_b", "a\nb", "a\\nb", "unknown", " ", None, "system", "é <|x"])]
+    said += [(5, k, "abc"[k % 3], "word " * (k % 4)) for k in range(900)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumns({n: F.lit("own") for n in ("part", "said", "who", "head", "body", "at", "nth", "perspective")})
     out = chat.rotate(df).collect()
-    assert {(r.conv_id, r.part, r.perspective) for r in out} == {(1, 0, "user"), (1, 0, "assistant"), (1, 0, "bob smith"), (None, 0, "unknown"), (3, None, "a"), (3, None, "b"), (3, 2, "a"), (3, 2, "b")}
+    speakers = {(c, (w or "").strip(" ")) for c, _, w, _ in said} - {(2, "system"), (4, "system")}
+    assert {(r.conv_id, r.perspective) for r in out} == speakers and len(out) == len(speakers)
     plain = lambda t: re.sub(r"<\\(\\*)\|", r"<\1|", t)
     for r in out:
         turns = re.findall(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", r.rendered, re.S)
-        own = sorted((t if t is not None else -1, (w or "unknown").strip(), x or "") for c, t, w, x in said if c == r.conv_id and (t // 256 if t is not None else None) == r.part)
+        own = sorted((t if t is not None else -1, (w or "").strip(" "), x or "") for c, t, w, x in said if c == r.conv_id)
         assert [plain(b) for _, b in turns] == [x for _, _, x in own] and r.n_turns == len(own)
         assert [h == "assistant" for h, _ in turns] == [w == r.perspective for _, w, _ in own]
         assert [r.rendered[m.start : m.stop] for m in r.masks] == [f"{b}<|im_end|>" for h, b in turns if h == "assistant"] and len(r.masks) == r.n_target_turns
-    assert any("user name=bob_smith" in r.rendered for r in out)
+    named = {h for r in out if r.conv_id == 4 and r.perspective == "" for h in re.findall(r"user name=(.*)", r.rendered)}
+    assert len(named) == 6  # no two names are rendered alike
     assert chat.rotate(df.limit(0)).count() == 0
 
 
