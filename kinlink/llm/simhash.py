@@ -260,8 +260,10 @@ SURE, DOUBTFUL = 4.0, 3.5
 #: Share of the pairs right at the similarity asked for that have to meet in the index.
 RECALL = 0.99
 
-#: Rows of one route that meet in one task; the rows of a hotter route meet block by block.
+#: Rows of one route that meet in one task; the rows of a hotter route meet block by block. Hot routes are told from the routes of one in
+#: LOOK signatures, which only says how work is dealt out: results are the same whatever is found.
 ROUTE_ROWS = 1 << 16
+LOOK = 64
 
 
 def differing(similarity: float) -> float:
@@ -449,7 +451,8 @@ def candidates(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
         yield pa.record_batch([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends)), pa.array(np.arange(len(ends[0])) < len(a))], ["a", "b", "sure"])
 
     dealt = arrow(classes.select("cid", "sig"), deal, "at long, rest int, cid long, sig binary")
-    hot = cut(arrow(classes.select("sig"), count_routes, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > ROUTE_ROWS))
+    some = classes.where(F.pmod(F.xxhash64("cid"), F.lit(LOOK)) == 0).select("sig")
+    hot = cut(arrow(some, count_routes, "at long, n long").groupBy("at").agg((F.sum("n") * LOOK).alias("n")).where(F.col("n") > ROUTE_ROWS))
     if not hot.isEmpty():
         # A row of a hot route is in one of its blocks and goes to every pair of blocks with that one.
         dealt = dealt.join(hot, "at", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / (ROUTE_ROWS // 2)), F.lit(1)))
