@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ MAX_CLASSES = 256
 LANGUAGE = subword.Shape(sizes=(2, 3, 4), bits=14, dim=16, epochs=5, rate=0.05)
 
 #: n-grams inside words, so that a misspelling shares most of its vectors with the word meant.
-TOXICITY = subword.Shape(sizes=(4, 5, 6), bits=18, dim=8, within_words=True, epochs=10, rate=0.05, least_steps=800)
+TOXICITY = subword.Shape(sizes=(4, 5, 6), bits=18, dim=4, within_words=True, epochs=6, rate=0.05, least_steps=600)
 
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -33,8 +34,8 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
     its share of `overall` documents if that is more.
 
     Rows with a null label or doc_id are left out; of several labels of a doc_id the largest counts. Ids are picked from the
-    labels by a hash, so the picked ids are a broadcast of bounded size and texts are not shuffled; texts are whole. Their
-    bags (at most 6 x 2^bits bytes each) are made on the executors and only these reach the driver. Rows weigh what their
+    labels by a hash, so the picked ids are a broadcast of bounded size and texts are not shuffled; texts and their counts are whole. Their
+    bags (at most 8 x 2^bits bytes each, compressed on the way) are made on the executors and only these reach the driver. Rows weigh what their
     label's share of all labels says. A tenth of the sample is held back to calibrate. No labels give a model without classes.
     """
     spark = prepare(docs.sparkSession)
@@ -55,14 +56,19 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = subword.bags(*text_bytes(b[1]), shape)
-            packed = [x.astype("<u4").tobytes() for x, _ in found], [np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found]
-            yield pa.record_batch([b[0], pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), b[2]], ["label", "buckets", "counts", "key"])
-
-    sample = arrow(texts, bag, f"label {kind}, buckets binary, counts binary, key long").toArrow().sort_by("key")
-    bags = [(np.frombuffer(b, "<u4"), np.frombuffer(c, "<u2").astype(np.float32)) for b, c in zip(sample["buckets"].to_pylist(), sample["counts"].to_pylist())]
+            pack = zstandard.ZstdCompressor(level=1).compress
+            # Buckets ascend, so their differences are small numbers, which compress well.
+            found = [pack(np.diff(x, prepend=np.uint32(0)).astype("<u4").tobytes() + c.astype("<u4").tobytes()) for x, c in subword.bags(*text_bytes(b[1]), shape)]
+            yield pa.record_batch([b[0], pa.array(found, pa.binary()), b[2]], ["label", "bag", "key"])
+
+    sample = arrow(texts, bag, f"label {kind}, bag binary, key long").toArrow().sort_by("key")
+    unpack, bags = zstandard.ZstdDecompressor().decompress, []
+    for x in sample["bag"]:
+        two = np.frombuffer(unpack(x.as_buffer()), "<u4").reshape(2, -1)
+        bags.append((np.cumsum(two[0], dtype=np.uint32), two[1].astype(np.float32)))
     place = {k: i for i, k in enumerate(classes)}
     labels = np.array([place[k] for k in sample["label"].to_pylist()], np.int64)
+    del sample
     drawn = np.bincount(labels, minlength=len(classes))
     weights = np.array([counts[k] for k in classes])[labels] / np.maximum(drawn[labels], 1)
     weights = weights / weights.mean() if len(weights) else weights

@@ -128,44 +128,73 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def dense(rows: list[tuple[np.ndarray, np.ndarray]], power: float) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that occur, and the bags as average weights over them."""
-    used, at = np.unique(np.concatenate([b for b, _ in rows]), return_inverse=True)
-    x = np.zeros((len(rows), len(used)), np.float32)
-    lengths = np.array([len(b) for b, _ in rows])
-    weights = [c / max(c.sum(), 1) ** power for _, c in rows]
-    x[np.repeat(np.arange(len(rows)), lengths), at] = np.concatenate(weights)
-    return used, x
+@dataclass
+class Batch:
+    """A minibatch: its rows, the buckets that occur, and its bags' entries by row and again by bucket."""
+
+    rows: np.ndarray
+    used: np.ndarray
+    at: np.ndarray  # the bucket of each entry, as a place in used
+    heads: np.ndarray  # where each row's entries begin
+    weights: np.ndarray  # of each entry: its count as a share of the row's
+    order: np.ndarray  # the entries by bucket
+    row: np.ndarray  # their rows
+    starts: np.ndarray  # where each bucket's begin
+
+    def hidden(self, table: np.ndarray) -> np.ndarray:
+        """The rows' averages of their buckets' vectors."""
+        return np.add.reduceat(table[self.at] * self.weights[:, None], self.heads, axis=0)
+
+    def gradient(self, back: np.ndarray) -> np.ndarray:
+        """What the rows' gradients are for the used buckets."""
+        return np.add.reduceat(back[self.row] * self.weights[self.order, None], self.starts, axis=0)
+
+
+def batched(rows: list[tuple[np.ndarray, np.ndarray]], shape: Shape, rng: np.random.Generator) -> list[Batch]:
+    """The non-empty bags in random minibatches, indexed once for all epochs."""
+    full = np.array([i for i, (b, _) in enumerate(rows) if len(b)], np.int64)
+    order, out = rng.permutation(full), []
+    for lo in range(0, len(order), shape.batch):
+        pick = order[lo : lo + shape.batch]
+        lengths = np.array([len(rows[i][0]) for i in pick])
+        used, at = np.unique(np.concatenate([rows[i][0] for i in pick]), return_inverse=True)
+        weights = np.concatenate([rows[i][1] / max(rows[i][1].sum(), 1) ** shape.power for i in pick])
+        by = np.argsort(at, kind="stable").astype(np.int32)
+        row = np.repeat(np.arange(len(pick), dtype=np.uint8 if len(pick) < 256 else np.int32), lengths)[by]
+        starts = np.flatnonzero(np.diff(at[by], prepend=-1)).astype(np.int32)
+        out.append(Batch(pick, used, at.astype(np.int32), np.cumsum(lengths) - lengths, weights.astype(np.float32), by, row, starts))
+    return out
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: list, shape: Shape, weights: np.ndarray | None = None) -> Model:
-    """Fit embeddings and softmax together (minibatches, Adam steps of the stochastic gradient)."""
+    """Fit embeddings and softmax together (minibatches in a new order each epoch, Adam steps of the stochastic gradient)."""
     rng = np.random.default_rng(shape.seed)
     k, buckets = len(classes), 1 << shape.bits
     params = [rng.normal(0, shape.spread, (buckets, shape.dim)).astype(np.float32), rng.normal(0, 1 / np.sqrt(shape.dim), (shape.dim, k)).astype(np.float32), np.zeros(k, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     weights = np.ones(len(rows)) if weights is None else weights
-    batches = max(1, -(-len(rows) // shape.batch))
-    epochs = max(shape.epochs, -(-shape.least_steps // batches))
-    step, total = 0, epochs * batches
+    batches = batched(rows, shape, rng)
+    epochs = max(shape.epochs, -(-shape.least_steps // max(1, len(batches)))) if batches else 0
+    step, total = 0, epochs * len(batches)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), shape.batch):
-            pick = order[lo : lo + shape.batch]
-            used, x = dense([rows[i] for i in pick], shape.power)
-            hidden = x @ params[0][used]
+        for one in rng.permutation(len(batches)):
+            batch = batches[one]
+            pick, used = batch.rows, batch.used
+            hidden = batch.hidden(params[0][used])
             p = softmax(hidden @ params[1] + params[2])
             p[np.arange(len(pick)), labels[pick]] -= 1
             p = (p * (weights[pick] / len(pick))[:, None]).astype(np.float32)
             back = p @ params[1].T
             step += 1
-            rate = shape.rate * (1 - (step - 1) / total)
-            grads = [x.T @ back, hidden.T @ p, p.sum(axis=0)]
+            rate = np.float32(shape.rate * (1 - (step - 1) / total))
+            grads = [batch.gradient(back), hidden.T @ p, p.sum(axis=0)]
+            one_, two_ = np.float32(1 - 0.9**step), np.float32(1 - 0.99**step)
             for q, g, m, v, at in zip(params, grads, first, second, (used, slice(None), slice(None))):
-                old = q[at]
-                m[at] += 0.1 * (g - m[at])
-                v[at] += 0.01 * (g * g - v[at])
-                q[at] = old * (1 - rate * shape.decay) - rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.99**step)) + 1e-8)
+                old, m_, v_ = q[at], m[at], v[at]
+                m_ += np.float32(0.1) * (g - m_)
+                v_ += np.float32(0.01) * (g * g - v_)
+                m[at], v[at] = m_, v_
+                q[at] = old * (1 - rate * np.float32(shape.decay)) - (rate / one_) * m_ / (np.sqrt(v_ / two_) + np.float32(1e-8))
     return Model(shape, classes, np.ascontiguousarray((params[0] @ params[1]).T.astype(np.float32)), params[2].astype(np.float64))
 
 

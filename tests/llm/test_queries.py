@@ -36,6 +36,25 @@ def test_one_row_per_input_row(spark, sf_dir, name):
         assert QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
 
 
+def test_language_accuracy_of_every_language(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    rows = QUERIES["op4_language"](spark, folder).where("held_out and lang_pred <> 'und'").join(docs, "doc_id").where("lang is not null").collect()
+    for lang in {r.lang for r in rows}:
+        own = [r.lang_pred == lang for r in rows if r.lang == lang]
+        assert np.mean(own) > 0.9, lang
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97
+
+
+def test_toxicity_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
+    rows = QUERIES["op8_toxicity"](spark, folder).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = ([(r.score, r.predicted) for r in rows if r.toxic == k] for k in (1, 0))
+    assert np.mean([p for _, p in clean]) < 0.04 and np.mean([p for _, p in toxic]) > 0.5
+    assert np.mean([a > b for a, _ in toxic for b, _ in clean]) > 0.95  # the area under the curve
+
+
 def test_classifiers_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lang = QUERIES["op4_language"](spark, sf_dir).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").collect()
