@@ -13,9 +13,9 @@ COUNTRIES = {
 
 # Legal-form tokens by country.
 LEGAL = {
-    "common": "ltd limited llc inc incorporated corp corporation co company plc llp lp pllc pc gmbh bv ag".split(),
-    "in": "pvt private p opc pvtltd".split(),
-    "fr": "sarl sas sasu sa eurl snc sci scop selarl scp societe ste ets etablissements etablissement cie compagnie".split(),
+    "common": ["ltd", "limited", "llc", "inc", "incorporated", "corp", "corporation", "co", "company", "plc", "llp", "lp", "pllc", "pc", "gmbh", "bv", "ag"],
+    "in": ["pvt", "private", "p", "opc", "pvtltd"],
+    "fr": ["sarl", "sas", "sasu", "sa", "eurl", "snc", "sci", "scop", "selarl", "scp", "societe", "ste", "ets", "etablissements", "etablissement", "cie", "compagnie"],
 }
 
 # Canonical legal words.
@@ -46,7 +46,7 @@ NAME_INDIC = {
 }
 
 # Name stopwords and the marks between a legal and a trade name.
-NAME_STOPWORDS = "the and of a an le la les l de du des d et en au aux ms m/s".split()
+NAME_STOPWORDS = ["the", "and", "of", "a", "an", "le", "la", "les", "l", "de", "du", "des", "d", "et", "en", "au", "aux", "ms", "m/s"]
 DBA = r"\b(?:d\s*/\s*b\s*/\s*a|dba|t\s*/\s*a|trading as|a\s*/\s*k\s*/\s*a|aka|formerly)\b"
 
 # Address abbreviations.
@@ -101,10 +101,10 @@ IN_STATES = {
 }
 
 # Further Indian regions that an address may name.
-IN_REGIONS = "goa assam odisha jharkhand chhattisgarh tripura sikkim manipur meghalaya mizoram nagaland chandigarh puducherry andhrapradesh".split()
+IN_REGIONS = ["goa", "assam", "odisha", "jharkhand", "chhattisgarh", "tripura", "sikkim", "manipur", "meghalaya", "mizoram", "nagaland", "chandigarh", "puducherry", "andhrapradesh"]
 
 # Address stopwords and patterns.
-ADDRESS_STOPWORDS = "the and of no nos number de la du des le les l d india usa france cedex bis ter quater null na none".split()
+ADDRESS_STOPWORDS = ["the", "and", "of", "no", "nos", "number", "de", "la", "du", "des", "le", "les", "l", "d", "india", "usa", "france", "cedex", "bis", "ter", "quater", "null", "na", "none"]
 LANDMARK = (
     r"\b(?:near|nr|opp|opposite|behind|beside|besides|next to|adjacent to|adj|in front of|close to|pres de|pres du|en face de|en face du"
     r"|a cote de|derriere)\b[^,]*"
@@ -124,15 +124,36 @@ FR_ADMIN = ["nouvelle aquitaine", "pays loire", "loire atlantique", "passage cal
 # Replacements that make consonant skeletons, in order.
 SKELETON = [("x", "ks"), ("ph", "f"), ("sh", "s"), ("kh", "k"), ("gh", "g"), ("th", "t"), ("bh", "b"), ("dh", "d"), ("ck", "k"), ("q", "k"), ("w", "v"), ("z", "s"), ("b", "p"), ("d", "t"), ("g", "k")]
 
-# Indic letters by their place in a block of 128 code points (all blocks share it), from the place given.
+# Indic code points. All blocks of 128 code points share one layout; the tables are by place in a block.
 INDIC_FIRST, INDIC_LAST = 0x0900, 0x0DFF
+
+# Consonants without their inherent vowel.
 INDIC_CONSONANTS = {
-    0x15: "k kh g gh n ch chh j jh n t th d dh n t th d dh n n p ph b bh m y r r l l l v sh sh s h".split(),
-    0x58: "q kh g z r rh f y".split(),
-}
-INDIC_VOWELS = {0x04: "a a aa i ii u uu ri li e e e ai o o o au".split(), 0x60: "ri li".split()}
-INDIC_SIGNS = {0x3E: "aa i ii u uu ri ri e e e ai o o o au".split(), 0x62: "li li".split()}
-INDIC_NASALS = {0x01: "n n h".split()}
+    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "n", 0x1A: "ch", 0x1B: "chh", 0x1C: "j", 0x1D: "jh", 0x1E: "n", 0x1F: "t",
+    0x20: "th", 0x21: "d", 0x22: "dh", 0x23: "n", 0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n", 0x29: "n", 0x2A: "p",
+    0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x31: "r", 0x32: "l", 0x33: "l", 0x34: "l", 0x35: "v",
+    0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h", 0x58: "q", 0x59: "kh", 0x5A: "g", 0x5B: "z", 0x5C: "r", 0x5D: "rh", 0x5E: "f",
+    0x5F: "y",
+}
+
+# Independent vowels.
+INDIC_VOWELS = {
+    0x04: "a", 0x05: "a", 0x06: "aa", 0x07: "i", 0x08: "ii", 0x09: "u", 0x0A: "uu", 0x0B: "ri", 0x0C: "li", 0x0D: "e", 0x0E: "e",
+    0x0F: "e", 0x10: "ai", 0x11: "o", 0x12: "o", 0x13: "o", 0x14: "au", 0x60: "ri", 0x61: "li",
+}
+
+# Vowel signs.
+INDIC_SIGNS = {
+    0x3E: "aa", 0x3F: "i", 0x40: "ii", 0x41: "u", 0x42: "uu", 0x43: "ri", 0x44: "ri", 0x45: "e", 0x46: "e", 0x47: "e", 0x48: "ai",
+    0x49: "o", 0x4A: "o", 0x4B: "o", 0x4C: "au", 0x62: "li", 0x63: "li",
+}
+
+# Nasals and the visarga.
+INDIC_NASALS = {
+    0x01: "n", 0x02: "n", 0x03: "h",
+}
+
+# The sign that silences a vowel, the first of ten digits, marks without a sound, and letter pairs made one, in order.
 INDIC_VIRAMA = 0x4D
 INDIC_DIGITS = 0x66
 INDIC_IGNORED = (0x3C, 0x3D, 0x00, 0x51, 0x52, 0x70, 0x71)

@@ -17,29 +17,38 @@ from kinlink.functions import dictionaries as D
 _INDIC = f"[\\u{D.INDIC_FIRST:04x}-\\u{D.INDIC_LAST:04x}]"
 
 
+#: Composed Hangul syllables: no letter of theirs is Latin, so tokens never hold them.
+HANGUL = range(0xAC00, 0xD7A4)
+
+
 @lru_cache
 def _folds() -> tuple[str, str, dict[str, str]]:
-    """By rule, for all letters and marks of the basic plane: NFKD without combining marks, where that is one character,
-    and, for Latin compatibility letters, where it is several."""
-    single, to, several = [], [], {}
-    for code in [*range(0x80, INDIC := D.INDIC_FIRST), *range(D.INDIC_LAST + 1, 0xD800), *range(0xF900, 0x10000)]:
-        ch = chr(code)
+    """By rule, over all characters: those whose compatibility decomposition without combining marks is one other character and that
+    one (marks by themselves, which leave nothing, come last and have none), and those for which it is several."""
+    single, marks, several = {}, [], {}
+    for ch in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]):
         folded = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if folded != ch and len(folded) == 1:
-            single.append(ch)
-            to.append(folded)
-        elif len(folded) > 1 and folded.isascii() and (code < INDIC or 0xFB00 <= code <= 0xFB06):
+        if folded == ch or ord(ch) in HANGUL:
+            continue
+        if len(folded) == 1:
+            single[ch] = folded
+        elif folded:
             several[ch] = folded
-    return "".join(single), "".join(to), several
+        else:
+            marks.append(ch)
+    return "".join([*single, *marks]), "".join(single.values()), several
 
 
 def strip_accents(c: Column) -> Column:
-    """T1. Compatibility decomposition without combining marks, for letters that fold to one letter and for Latin ligatures."""
+    """T1. Compatibility decomposition without combining marks; Hangul syllables stay composed.
+
+    Plain ASCII is left alone; letters that become several are looked up one by one where a text has any.
+    """
     single, to, several = _folds()
-    out = F.regexp_replace(F.translate(c, single, to), r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃰︠-︯]", "")
-    for ch, folded in several.items():
-        out = F.replace(out, F.lit(ch), F.lit(folded)) if ch in "ﬀﬁﬂﬃﬄﬅﬆ" else out
-    return F.when(c.rlike(r"[^\x00-\x7f]"), out).otherwise(c)
+    table = F.map_from_arrays(F.split(F.lit("\n".join(several)), "\n"), F.split(F.lit("\n".join(several.values())), "\n"))
+    letters = F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    spread = F.when(c.rlike(f"[{''.join(several)}]"), F.array_join(letters, "")).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(spread, single, to)).otherwise(c)
 
 
 def clean(c: Column) -> Column:
@@ -88,8 +97,9 @@ def basic_tokens(c: Column, cc: Column) -> Column:
 
 
 def cleaned_tokens(folded: Column, cc: Column) -> Column:
-    """basic_tokens of text that is lower-cased and without accents; the pattern of elisions matches nothing outside France."""
-    s = F.regexp_replace(folded, F.when(cc == "fr", F.lit(r"\b([ldjmnst])['’]")).otherwise(F.lit(r"(?!)()")), F.lit("$1 "))
+    """basic_tokens of text that is lower-cased and without accents, though letters that these gave may be capital; the pattern of
+    elisions matches nothing outside France."""
+    s = F.regexp_replace(F.lower(folded), F.when(cc == "fr", F.lit(r"\b([ldjmnst])['’]")).otherwise(F.lit(r"(?!)()")), F.lit("$1 "))
     s = F.regexp_replace(F.regexp_replace(s, "['’`]", ""), "[&+]", " and ")
     return join_single_letters(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
@@ -103,11 +113,15 @@ def expand(tokens: Column, common: dict[str, str], cc: Column, own: dict[str, di
 
 
 def replace_phrases(c: Column, table: dict[str, str]) -> Column:
-    """T7. Whole-word phrases in the table's order; single words only if longer than three letters."""
-    for full, short in table.items():
-        if " " in full or len(full) > 3:
-            c = F.regexp_replace(c, rf"\b{full}\b", short)
-    return c
+    """T7. Each phrase of the table, in its order, as whole words; of single words only those of four letters or more.
+
+    A text that has none of them, as most have, is told by one pattern and passes unchanged.
+    """
+    phrases = [k for k in table if " " in k or len(k) >= 4]
+    out = c
+    for phrase in phrases:
+        out = F.regexp_replace(out, rf"\b{phrase}\b", table[phrase])
+    return F.when(c.rlike(rf"\b(?:{'|'.join(phrases)})\b"), out).otherwise(c)
 
 
 def prefixed(tokens: Column, p: str) -> Column:
@@ -159,8 +173,8 @@ def _indic() -> tuple[str, str]:
     return "".join(own), "".join(chr(D.INDIC_FIRST + (ord(ch) & 0x7F)) for ch in own)
 
 
-def _placed(tables: dict[int, list[str]]) -> dict[str, str]:
-    return {chr(D.INDIC_FIRST + at + i): latin for at, row in tables.items() for i, latin in enumerate(row)}
+def _placed(table: dict[int, str]) -> dict[str, str]:
+    return {chr(D.INDIC_FIRST + at): latin for at, latin in table.items()}
 
 
 def transliterate(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinlink.operators.retrieve import VIEWS, pair_cosine
 
 def f_half(n_pred: Column, n_truth: Column, tp: Column) -> Column:
     """G1. F0.5 from counts: 1 if nothing is true and nothing predicted, 0 without a hit."""
@@ -78,7 +79,8 @@ BUCKETS = ("ok_singleton", "E1_singleton_merged", "E6_all_true_blocked", "E3_abs
 
 
 def error_buckets(prepared: DataFrame, selected: DataFrame, truth: DataFrame, ones: DataFrame) -> DataFrame:
-    """G8. (s1, bucket, f, n_truth, n_pred, n_cands, top_cand, top_p): the outcome of every query, named by what went wrong first.
+    """G8. (s1, bucket, f, n_truth, n_pred, n_cands, top_cand, top_p, truth, pred): the outcome of every query, named by what went
+    wrong first; truth and pred are its true and selected candidates, comma-joined in order of id.
 
     One aggregation over the candidates with flags for true and selected; queries without candidates are kept.
     """
@@ -89,15 +91,17 @@ def error_buckets(prepared: DataFrame, selected: DataFrame, truth: DataFrame, on
         F.count_if(F.col("true").isNotNull() & F.col("pred").isNotNull()).alias("tp"),
         F.max(F.when(F.col("is_top"), F.col("cand"))).alias("top_cand"), F.max(F.when(F.col("is_top"), F.col("pa"))).alias("top_p"),
         F.max(F.when(F.col("is_top"), F.col("true"))).alias("top_true"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("pred").isNotNull(), F.col("cand")))), ",").alias("pred_ids"),
     )
-    e = ones.select("s1").join(own, "s1", "left").join(truth.groupBy("s1").agg(F.count("*").alias("n_truth")), "s1", "left")
-    e = e.fillna(0, ["n_cands", "n_found", "n_pred", "tp", "top_true", "n_truth"]).fillna(0.0, ["top_p"]).fillna("", ["top_cand"])
+    listed = truth.groupBy("s1").agg(F.count("*").alias("n_truth"), F.array_join(F.array_sort(F.collect_list("cand")), ",").alias("true_ids"))
+    e = ones.select("s1").join(own, "s1", "left").join(listed, "s1", "left")
+    e = e.fillna(0, ["n_cands", "n_found", "n_pred", "tp", "top_true", "n_truth"]).fillna(0.0, ["top_p"]).fillna("", ["top_cand", "pred_ids", "true_ids"])
     n, pred, hit, found = F.col("n_truth"), F.col("n_pred"), F.col("tp"), F.col("n_found")
     ok_singleton, merged, blocked, top_right, top_wrong, wrong, extra, partly, missed, ok = map(F.lit, BUCKETS)
     bucket = F.when(n == 0, F.when(pred == 0, ok_singleton).otherwise(merged)).when(found == 0, blocked)
     bucket = bucket.when(pred == 0, F.when(F.col("top_true") == 1, top_right).otherwise(top_wrong)).when(hit == 0, wrong).when(pred > hit, extra)
     bucket = bucket.when(hit < n, F.when(found < n, partly).otherwise(missed)).otherwise(ok)
-    return e.select("s1", bucket.alias("bucket"), F.round(f_half(pred, n, hit), 6).alias("f"), "n_truth", "n_pred", "n_cands", "top_cand", "top_p")
+    return e.select("s1", bucket.alias("bucket"), F.round(f_half(pred, n, hit), 6).alias("f"), "n_truth", "n_pred", "n_cands", "top_cand", "top_p", F.col("true_ids").alias("truth"), F.col("pred_ids").alias("pred"))
 
 
 def bucket_summary(buckets: DataFrame) -> DataFrame:
@@ -107,15 +111,22 @@ def bucket_summary(buckets: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(total)).select("bucket", "n", "loss", F.round(F.coalesce(F.try_divide("loss", "all"), F.lit(0.0)), 6).alias("loss_share")).orderBy(F.desc("loss"), "bucket")  # one row
 
 
-def pair_dump(selected: DataFrame, prepared: DataFrame, truth: DataFrame, records: DataFrame) -> DataFrame:
-    """G9. Wrong, missed and blocked pairs with both raw texts: (kind, s1, cand, pa, s1_name, s1_addr, c_name, c_addr, country)."""
+# Features shown beside a dumped pair.
+KEY_FEATURES = ("sim_name", "sim_addr", "n_tset", "a_tset", "num_near", "postal_state", "chain_s1", "ctx_rank_prune_score")
+
+
+def pair_dump(selected: DataFrame, prepared: DataFrame, truth: DataFrame, records: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """G9. Wrong, missed and blocked pairs with both raw texts: (kind, s1, cand, pa, s1_name, s1_addr, c_name, c_addr, country), and those of
+    KEY_FEATURES that `pairs` (s1, cand) has; null for blocked pairs."""
     t = truth.select("s1", "cand")
     wrong = selected.select("s1", "cand", "pa").join(t, ["s1", "cand"], "left_anti").withColumn("kind", F.lit("FP"))
     missed = prepared.select("s1", "cand", "pa").join(t, ["s1", "cand"], "left_semi").join(selected.select("s1", "cand"), ["s1", "cand"], "left_anti").withColumn("kind", F.lit("FN_scored"))
     blocked = t.join(prepared.select("s1", "cand"), ["s1", "cand"], "left_anti").withColumns({"pa": F.lit(None).cast("double"), "kind": F.lit("FN_blocked")})
     side = lambda key, p: records.select(F.col("entity_id").alias(key), F.col("business_name").alias(f"{p}_name"), F.col("business_address").alias(f"{p}_addr"), *([F.col("country")] if p == "s1" else []))
     every = wrong.unionByName(missed).unionByName(blocked)
-    return every.join(side("s1", "s1"), "s1", "left").join(side("cand", "c"), "cand", "left").select("kind", "s1", "cand", "pa", "s1_name", "s1_addr", "c_name", "c_addr", "country")
+    shown = [c for c in KEY_FEATURES if pairs is not None and c in pairs.columns]
+    every = every.join(pairs.select("s1", "cand", *shown), ["s1", "cand"], "left") if shown else every
+    return every.join(side("s1", "s1"), "s1", "left").join(side("cand", "c"), "cand", "left").select("kind", "s1", "cand", "pa", "s1_name", "s1_addr", "c_name", "c_addr", "country", *shown)
 
 
 def audit(records: DataFrame) -> DataFrame:
@@ -140,6 +151,12 @@ def truth_shapes(truth: DataFrame, ones: DataFrame) -> DataFrame:
     return ones.select("s1").join(per, "s1", "left").fillna(0).groupBy("n_s2", "n_s3").agg(F.count("*").alias("n"))
 
 
+def truth_sizes(truth: DataFrame, ones: DataFrame) -> DataFrame:
+    """G10, G13. (n_truth, n): how many queries have so many matches."""
+    per = truth.groupBy("s1").agg(F.count("*").alias("n_truth"))
+    return ones.select("s1").join(per, "s1", "left").fillna(0).groupBy("n_truth").agg(F.count("*").alias("n"))
+
+
 def contested(truth: DataFrame) -> DataFrame:
     """G10. Candidates that several queries claim as true; none if matching is one-to-one."""
     return truth.groupBy("cand").agg(F.count("*").alias("n")).where("n > 1")
@@ -211,6 +228,14 @@ def missed_pairs(truth: DataFrame, cands: DataFrame) -> DataFrame:
     return truth.select("s1", "cand").join(cands.select("s1", "cand"), ["s1", "cand"], "left_anti")
 
 
+def missed_similarity(missed: DataFrame, records: DataFrame, weights: DataFrame, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """D16. (view, n, q10, q50, q90): quantiles of the exact cosines of missed pairs, which tell why they were not retrieved."""
+    bc = records.select(F.col("entity_id").alias("s1"), "bc")
+    sims = pair_cosine(missed.join(bc, "s1"), weights)
+    rows = sims.select(F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(f"sim_{v}").alias("sim")) for v in VIEWS))).alias("x")).select("x.*")
+    return rows.groupBy("view").agg(F.count("*").alias("n"), *(F.round(F.percentile("sim", F.lit(q)), 6).alias(f"q{round(100 * q)}") for q in at))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """D15. (bucket, n_a, n_b, loss_a, loss_b, delta) of two error_buckets results."""
     one = lambda d, x: d.groupBy("bucket").agg(F.count("*").alias(f"n_{x}"), F.round(F.sum(1 - F.col("f")), 6).alias(f"loss_{x}"))

@@ -44,17 +44,26 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def document_frequencies(counts: DataFrame, docs: DataFrame, max_df: int = MAX_DF) -> DataFrame:
     """R5, R6. (view, bc, tok, df, idf) of the tokens in 2 to max_df documents; the others join nothing."""
-    n = docs.groupBy("view", "bc").agg(F.count("*").alias("n"))
-    df = counts.groupBy("view", "bc", "tok").agg(F.count("*").alias("df")).where(F.col("df").between(2, max_df))
-    return df.join(n, ["view", "bc"]).select("view", "bc", "tok", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return inverse_frequencies(counts.groupBy("view", "bc", "tok").agg(F.count("*").alias("df")), docs.groupBy("view", "bc").agg(F.count("*").alias("n")), max_df)
+
+
+def inverse_frequencies(df: DataFrame, sizes: DataFrame, max_df: int = MAX_DF) -> DataFrame:
+    """R6. Document frequencies (view, bc, tok, df) between 2 and max_df with their idf; sizes (view, bc, n): a row for each view and country."""
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    return df.where(F.col("df").between(2, max_df)).join(sizes, ["view", "bc"]).select("view", "bc", "tok", "df", idf.alias("idf"))
 
 
 def postings(docs: DataFrame, max_df: int = MAX_DF) -> DataFrame:
     """R7. (view, bc, id, src, tok, w): sublinear tf times idf, each document of unit length."""
     counts = term_counts(docs)
-    weighed = counts.join(document_frequencies(counts, docs, max_df), ["view", "bc", "tok"]).withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    return weighed(counts, document_frequencies(counts, docs, max_df))
+
+
+def weighed(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """R7. Term counts under given idf weights, each document of unit length."""
+    raw = counts.join(idf, ["view", "bc", "tok"]).withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("view", "bc", "id")))
-    return weighed.select("view", "bc", "id", "src", "tok", (F.col("raw") / length).alias("w"))
+    return raw.select("view", "bc", "id", "src", "tok", (F.col("raw") / length).alias("w"))
 
 
 def ranked(pairs: DataFrame, group: list[str], score: str, name: str, tie: str = "cand") -> DataFrame:

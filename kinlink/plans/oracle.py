@@ -5,10 +5,12 @@ The records' words and addresses are few and plain, so normalisation needs only
 
 from __future__ import annotations
 
+import re
+
 from kinlink.functions import dictionaries as D
 from kinlink.sources.fixtures import RECORDS, SCORED, TRUTH
 
-K, MAX_DF, MAX_K = 10, 500, 5
+K, MAX_DF, MAX_K = 60, 20_000, 25
 
 
 def _list(values: list[str]) -> str:
@@ -47,9 +49,9 @@ norm AS (
   SELECT src, entity_id, business_name, business_address, country, bc, name_clean, core, legal, addr_clean,
          list_transform(list_transform(sk, lambda t: t[1:1] || regexp_replace(t[2:], '[aeiouy]', '', 'g')), lambda t: {_collapse('t')}) AS skel,
          CASE WHEN len(core) >= 2 THEN array_to_string(list_transform(core, lambda t: t[1:1]), '') ELSE '' END AS acr,
-         list_filter(addr_clean, lambda t: len(t) > 1 AND NOT regexp_matches(t, '[0-9]')) AS acore,
+         list_filter(addr_clean, lambda t: len(t) > 1 AND NOT regexp_matches(t, '[0-9]') AND NOT list_contains({_list(D.ADDRESS_STOPWORDS)}, t)) AS acore,
          list_sort(list_distinct(list_filter(addr_clean, lambda t: regexp_matches(t, '^[0-9]+$')))) AS house,
-         CASE WHEN bc = 'us' AND business_address <> '' THEN lower(right(business_address, 2)) ELSE '' END AS region
+         CASE WHEN bc = 'us' AND regexp_matches(business_address, ' [A-Z][A-Z]$') THEN lower(right(business_address, 2)) ELSE '' END AS region
   FROM skeletons)
 """
 
@@ -63,7 +65,7 @@ DOCS = f"""
 parts AS (
   SELECT src, bc, entity_id AS id,
          list_concat(list_concat(list_concat(core, list_transform(skel, lambda t: '~' || t)), list_concat({_pairs('core', False)},
-           list_concat(CASE WHEN len(core) >= 2 THEN ['=' || core[1] || core[2]] ELSE [] END, CASE WHEN len(core) >= 3 THEN ['=' || array_to_string(core, '')] ELSE [] END))),
+           list_concat(CASE WHEN len(core) >= 2 THEN ['=' || core[1] || core[2]] WHEN len(core) = 1 AND len(core[1]) >= 6 THEN ['=' || core[1]] ELSE [] END, CASE WHEN len(core) >= 3 THEN ['=' || array_to_string(core, '')] ELSE [] END))),
            CASE WHEN region <> '' THEN list_concat(list_transform(core, lambda t: t || '@' || region), list_transform(skel, lambda t: '~' || t || '@' || region)) ELSE [] END) AS n,
          list_concat(list_concat(acore, flatten(list_transform(house, lambda h: CASE WHEN len(h) >= 4 THEN ['#' || h, '#' || h[1:3]] ELSE ['#' || h] END))), {_pairs('acore', True)}) AS a
   FROM norm),
@@ -130,6 +132,15 @@ entities AS (
          ELSE 1.25::DOUBLE * (tp / n_pred) * (tp / n_truth) / (0.25::DOUBLE * (tp / n_pred) + tp / n_truth) END AS f FROM counted)
 """
 
+
+
+def again(sql: str, thresholds: tuple[float, float, float]) -> str:
+    """The expressions of CHOSEN and what builds on it once more, for other thresholds, under names with a 2."""
+    for old, new in zip(("0.55", "0.8)", "0.75"), (f"{thresholds[0]}", f"{thresholds[1]})", f"{thresholds[2]}")):
+        sql = sql.replace(old, new)
+    return re.sub(r"\b(chosen|hits|counted|entities|flags|own|outcome)\b", r"\g<1>2", sql)
+
+
 _SCORED = [RECORDS, TRUTH, SCORED, PREPARED]
 _CHAIN = {"records": [RECORDS], "norm": [RECORDS, NORM], "docs": [RECORDS, NORM, DOCS], "post": [RECORDS, NORM, DOCS, POSTINGS]}
 _CHAIN["found"] = [*_CHAIN["post"], TOPK]

@@ -7,42 +7,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_W1 = "golden,blue,summit,pioneer,liberty,eagle,pacific,silver,green,sunrise,maple,river,harbor,metro,capital,heritage,redwood"
+_SYLLABLES = "ka,lo,mi,ne,ru,sa,to,vi,be,da,fo,gu,ha,jo,le,ma,no,pe,ri,su"
 _W2 = "auto,dental,bakery,plumbing,logistics,consulting,pharmacy,grill,hardware,realty,insurance,fitness,electric"
 _W3 = "group,services,center,partners,associates,systems,works"
 _LG, _LG2 = "Inc,LLC,Pvt Ltd,SARL,Corp", "LLC,Inc,Private Limited,SAS,Corporation"
-_ST = "main,oak,lake,hill,park,pine,cedar,sunset,gandhi,station,victor hugo"
-_CITY = "Springfield IL;Austin TX;Denver CO;Seattle WA;Miami FL"
+_WAY = "St,Way,Row,Park"
+_STATE = "IL,TX,CO,WA,FL,NY,CA,OH,PA,GA,MI,NC,NJ,VA,AZ,MO,MD,MN,WI,KY"
 _SHIFT = "1,2,3,4,5,7,9,11,13,21"
 
-#: Common table expressions: `biz` with src, entity_id, business_name, business_address, country.
+
+def _syllables(n: str, count: int) -> str:
+    """A word of `count` syllables, by the digits of a number to base 20."""
+    return f"concat({', '.join(f"split_part('{_SYLLABLES}', ',', CAST(CAST(floor({n} / {20**i}.0) AS BIGINT) % 20 + 1 AS INT))" for i in range(count))})"
+
+
+#: Common table expressions: `biz` with src, entity_id, business_name, business_address, country. Three neighbours share a first word;
+#: k % 29 = 7 has another name and place in source 3, and k % 29 = 11 only its house number.
 RECORDS = f"""
 base AS (
   SELECT c_custkey AS k, lpad(CAST(c_custkey AS STRING), 6, '0') AS id,
-         split_part('{_W1}', ',', CAST(c_custkey % 17 + 1 AS INT)) AS w1,
+         {_syllables('floor(c_custkey / 3.0)', 3)} AS w1,
          split_part('{_W2}', ',', CAST(CAST(floor(c_custkey / 17.0) AS BIGINT) % 13 + 1 AS INT)) AS w2,
          CASE WHEN c_custkey % 2 = 0 THEN concat(' ', split_part('{_W3}', ',', CAST(c_custkey % 7 + 1 AS INT))) ELSE '' END AS w3,
          split_part('{_LG}', ',', CAST(c_custkey % 5 + 1 AS INT)) AS lg,
          split_part('{_LG2}', ',', CAST(c_custkey % 5 + 1 AS INT)) AS lg2,
          10 + (c_custkey * 37) % 9000 AS num,
-         split_part('{_ST}', ',', CAST(c_custkey % 11 + 1 AS INT)) AS st,
-         split_part('{_CITY}', ';', CAST(c_custkey % 5 + 1 AS INT)) AS city,
+         concat({_syllables('(c_custkey * 7)', 2)}, ' ', split_part('{_WAY}', ',', CAST(c_custkey % 4 + 1 AS INT))) AS st,
+         concat({_syllables('(c_custkey * 11)', 2)}, ' ', split_part('{_STATE}', ',', CAST(c_custkey % 20 + 1 AS INT))) AS city,
          CASE n_regionkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'India' ELSE 'France' END AS country
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 biz AS (
   SELECT 1 AS src, concat('S1-', id) AS entity_id, concat(w1, ' ', w2, w3, ' ', lg) AS business_name,
-         concat(CAST(num AS STRING), ' ', st, ' St, ', city) AS business_address, country FROM base
+         concat(CAST(num AS STRING), ' ', st, ', ', city) AS business_address, country FROM base
   UNION ALL
   SELECT 2, concat('S2-', id),
          CASE k % 6 WHEN 1 THEN concat(w1, ' ', w2, w3, ' ', lg2) WHEN 2 THEN upper(concat(w1, ' ', w2, w3, ' ', lg))
                     WHEN 3 THEN concat(w2, ' ', w1, w3, ' ', lg) ELSE concat(w1, ' ', w2, w3, ' ', lg) END,
-         CASE k % 6 WHEN 4 THEN '' WHEN 5 THEN concat(CAST(CAST(floor(num / 10.0) AS BIGINT) AS STRING), ' ', st, ' St, ', city)
-                    ELSE concat(CAST(num AS STRING), ' ', st, ' St, ', city) END, country FROM base WHERE k % 4 <> 0
+         CASE k % 6 WHEN 4 THEN '' WHEN 5 THEN concat(CAST(CAST(floor(num / 10.0) AS BIGINT) AS STRING), ' ', st, ', ', city)
+                    ELSE concat(CAST(num AS STRING), ' ', st, ', ', city) END, country FROM base WHERE k % 4 <> 0
   UNION ALL
-  SELECT 3, concat('S3-', id), concat(w1, ' ', w2, w3, ' ', lg2), concat(CAST(num AS STRING), ' ', st, ' St, ', city), country FROM base WHERE k % 5 <> 0
+  SELECT 3, concat('S3-', id),
+         CASE WHEN k % 29 = 7 THEN concat({_syllables('(k * 13 + 5)', 3)}, 'x') WHEN k % 29 = 11 THEN concat({", ' ', ".join(_syllables(f'(k * {m} + {m})', 4) for m in (31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89))})
+              ELSE concat(w1, ' ', w2, w3, ' ', lg2) END,
+         CASE WHEN k % 29 = 7 THEN '' WHEN k % 29 = 11 THEN concat(CAST(num AS STRING), ' ', {_syllables('(k * 17 + 3)', 4)}) ELSE concat(CAST(num AS STRING), ' ', st, ', ', city) END, country
+  FROM base WHERE k % 5 <> 0
   UNION ALL
   SELECT 3, concat('S3-9', id), concat(w1, ' ', w2, w3, ' ', lg),
-         concat(CAST(num + CAST(split_part('{_SHIFT}', ',', CAST(k % 10 + 1 AS INT)) AS BIGINT) AS STRING), ' ', st, ' St, ', city), country FROM base WHERE k % 3 = 0)
+         concat(CAST(num + CAST(split_part('{_SHIFT}', ',', CAST(k % 10 + 1 AS INT)) AS BIGINT) AS STRING), ' ', st, ', ', city), country FROM base WHERE k % 3 = 0)
 """
 
 #: `truth` with a row for each true pair, `ones` with all first-source ids.
@@ -68,8 +79,12 @@ scored AS (
 """
 
 
+#: Tables that the records are derived from.
+TABLES = ("customer", "nation")
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for name in names or ("customer", "nation"):
+    for name in names or TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zipfile
 from pathlib import Path
 
@@ -58,10 +59,10 @@ def id_lists(lists: DataFrame, ones: DataFrame, column: str = "matched_entity_id
     return ones.select("s1").join(lists, "s1", "left").select(F.col("s1").alias("source1_entity_id"), F.coalesce(F.array_join(F.array_distinct("cands"), ","), F.lit("")).alias(column))
 
 
-def write_tsv(rows: DataFrame, path: str, order: str | None = None) -> None:
-    """S10. A folder with one TSV file; `order` sorts it."""
+def write_tsv(rows: DataFrame, path: str, order: str | None = None, one_file: bool = False) -> None:
+    """S10. A folder of TSV files; `order` sorts them, in themselves and by name. `one_file` makes them one, in a single task."""
     rows = rows.orderBy(order) if order else rows
-    rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
 def write_normalised(records: DataFrame, path: str) -> None:
@@ -94,10 +95,14 @@ def append_registry(spark: SparkSession, path: str, row: dict) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def write_artefacts(frames: dict[str, DataFrame], folder: str) -> None:
-    """S11. Each result of a run as Parquet under its name."""
+def write_artefacts(frames: dict[str, DataFrame], folder: str, facts: dict | None = None) -> None:
+    """S11. Each result of a run as Parquet under its name, and facts (configuration, metrics, importance, provenance) as a line of JSON each."""
     for name, frame in frames.items():
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+    if facts:
+        spark = next(iter(frames.values())).sparkSession
+        lines = [(json.dumps({"name": k, "value": v}, sort_keys=True, default=str),) for k, v in facts.items()]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/facts")
 
 
 def make_zip(paths: list[str], target: str) -> None:

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one where that is unset and one process does all, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if (made := _local.get(spark.sparkContext.applicationId)) is None:
         made = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="kinlink-tables-")
     return made
@@ -25,9 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
 _local: dict[str, str] = {}
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df written and read again."""
+    """df written and read again; release() deletes it."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df under a path of its own, for later runs: read if it was written to the end before, else written now."""
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the tables that materialise() has written but those that `keep` reads; results that read them must have been stored."""
+    needed = " ".join(f for df in keep for f in df.inputFiles())
+    for path in [p for p in _written if p.rsplit("/", 1)[1] not in needed]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _written.remove(path)

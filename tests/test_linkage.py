@@ -48,6 +48,42 @@ def test_kernels():
     assert K.jaro_winkler("abcd", "abxy") == pytest.approx(2 / 3)
 
 
+def slow_indel(a, b):
+    """100 * 2 LCS / (len a + len b) by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def test_kernels_against_plain_definitions():
+    import random
+
+    random.seed(11)
+    text = lambda n: " ".join("".join(random.choice("abc") for _ in range(random.randint(1, 4))) for _ in range(random.randint(0, n)))
+    for _ in range(400):
+        a, b = text(4), text(4)
+        assert K.indel(a, b) == pytest.approx(slow_indel(a, b))
+        short, long = sorted((a, b), key=len)
+        parts = [long[i:j] for i in range(len(long)) for j in range(i + 1, len(long) + 1) if j - i == len(short) or (j - i < len(short) and (i == 0 or j == len(long)))]
+        assert K.partial(a, b) == pytest.approx(max([slow_indel(short, p) for p in parts], default=100.0 if not long else 0.0) if short else (0.0 if long else 100.0))
+        order = lambda s: " ".join(sorted(s.split()))
+        assert K.token_sort(a, b) == pytest.approx(slow_indel(order(a), order(b)))
+        x, y = set(a.split()), set(b.split())
+        both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        if not x or not y:
+            want = 0.0
+        elif both and not (one and two):
+            want = 100.0
+        else:
+            left, right = f"{both} {one}".strip(), f"{both} {two}".strip()
+            want = max(slow_indel(left, right), *((slow_indel(both, left), slow_indel(both, right)) if both else (0.0,)))
+        assert K.token_set(a, b) == pytest.approx(want)
+
+
 def test_number_kernels(spark):
     df = spark.createDataFrame([(["2777"], ["277"]), (["10"], ["12", "8"]), ([], ["1"]), (["5"], ["5", "7"])], "a array<string>, b array<string>")
     got = df.select(K.number_near(F.col("a"), F.col("b")), K.number_differences(F.col("a"), F.col("b"))).collect()
@@ -101,12 +137,21 @@ def test_normalised_parquet_and_registry(spark, sf_dir, tmp_path):
     assert set(records.append_registry(spark, registry, {"id": "b", "g": 2}).columns) == {"id", "f", "g"}
 
 
-def test_config(tmp_path):
-    (tmp_path / "base.json").write_text('{"model": {"seeds": [1, 2]}, "x": 1}')
+def test_config(tmp_path, spark):
+    (tmp_path / "base.json").write_text('{"model": {"seeds": [1, 2]}, "x": 1, "blocking": {"hop": null}}')
     (tmp_path / "child.json").write_text('{"inherit": "base.json", "model": {"folds": 2}}')
-    c = config.load_config(str(tmp_path / "child.json"))
-    assert c["model"]["seeds"] == [1, 2] and c["model"]["folds"] == 2 and c["model"]["depth"] == 5 and c["x"] == 1
-    assert config.stable_hash({"a": 1, "b": 2}) == config.stable_hash({"b": 2, "a": 1}) and len(config.code_hash()) == 12
+    c = config.read_settings(str(tmp_path / "child.json"))
+    assert c["model"]["seeds"] == [1, 2] and c["model"]["folds"] == 2 and c["model"]["depth"] == 5 and c["x"] == 1 and c["blocking"]["hop"] is None and c["blocking"]["k"] == 60
+    assert config.key_of({"a": 1, "b": 2}) == config.key_of({"b": 2, "a": 1}) != config.key_of({"a": 1, "b": 3}) and len(config.code_version()) == 16
+    every = {name: config.experiment_settings(name) for name in config.EXPERIMENTS}
+    assert every["e011"]["blocking"] == {**config.BASE["blocking"], "score": "learned", "min_sim": 0.05, "min_score": 0.0} and every["e011"]["stage2"] and every["e012"]["weights"]
+    assert every["e001"]["blocking"]["hop"] is None and every["e001"]["blocking"]["max_k"] == 15 and every["e003_blk_us"]["countries"] == ["us"] and every["e002"]["pruner"]["n"] == 60_000
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.tsv").write_text("x")
+    before = config.input_signature(spark, str(tmp_path / "t"))
+    (tmp_path / "t" / "a.tsv").write_text("xy")
+    assert before[0][:2] == ("a.tsv", 1) and config.input_signature(spark, str(tmp_path / "t")) != before
+    assert config.folder_of("r", "s", before) != config.folder_of("r", "s", 1) and config.provenance(str(tmp_path)) == {}
 
 
 def test_out_of_fold_scores_and_pruning_rank(spark):
@@ -115,10 +160,142 @@ def test_out_of_fold_scores_and_pruning_rank(spark):
     s = model.Settings(trees=2, depth=2, folds=2)
     got = model.out_of_fold(df, ["x", "cand_src"], s)
     assert got.count() == 120 and got.where("cand = 'c0'").agg(F.min("p")).head()[0] > got.where("cand <> 'c0'").agg(F.max("p")).head()[0]
+    assert model.full_trees([3, 5, 4], model.Settings(full_iter_mult=1.5)) == 6
     ranks = model.rank_normalise(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 3.0)], "bc string, v double"), ["v"])
     assert sorted(r.v for r in ranks.collect()) == [0.25, 0.5, 0.875, 0.875]
 
 
+def test_no_score_is_by_a_model_that_learnt_from_its_query(spark):
+    """A model that knows each query's label by a feature of its own gives away any row that it was trained on."""
+    data = [("us", f"q{k}", "c", 2, float(k * 7 % 10 < 5), float(k), 1.0) for k in range(120)]
+    df = spark.createDataFrame(data, "bc string, s1 string, cand string, cand_src int, y double, x double, w double")
+    one = model.Settings(trees=3, depth=5, folds=3, rate=1.0, seeds=(42, 7), tolerance=0.0)
+    fits, seen = model.fit, []
+
+    def spy(rows, columns, s, seed, trees=None, held=None):
+        seen.append((seed, {r.s1 for r in rows.where(~held).collect()}, {r.s1 for r in rows.where(held).collect()}))
+        return fits(rows, columns, s, seed, trees, held)
+
+    model.fit = spy
+    try:
+        got, trees = model.cross_validated(df, ["x"], one)
+    finally:
+        model.fit = fits
+    assert got.count() == 120 and len(trees) == 6 and all(1 <= t <= 3 for t in trees)
+    for seed in one.seeds:
+        held = [h for k, _, h in seen if k == seed]
+        assert sorted(q for h in held for q in h) == sorted(r[1] for r in data)  # each query is held out once by every seed
+        assert all(not (t & h) for k, t, h in seen if k == seed)
+    assert {frozenset(h) for k, _, h in seen if k == 42} != {frozenset(h) for k, _, h in seen if k == 7}
+
+
+def test_percentile_ranks_over_ranges(spark):
+    import pandas as pd
+
+    data = [("ab"[k % 2] if k % 7 else None, float(k * 37 % 23) if k % 11 else None) for k in range(400)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(data)], "k int, bc string, v double")
+    got = {r.k: r.v for r in model.rank_normalise(df, ["v"]).collect()}
+    want = pd.DataFrame(data, columns=["bc", "v"]).groupby("bc", dropna=False).v.rank(pct=True)
+    assert all((got[k] is None and pd.isna(w)) or got[k] == pytest.approx(w) for k, w in enumerate(want)) and len(got) == 400
+
+
+def test_region_samples_are_whole_and_near_their_share(spark):
+    data = [(f"q{k}", "us" if k % 3 else "in", "" if k % 10 == 0 else f"r{k % 17 if k % 2 else 99}") for k in range(3000)]
+    ones = spark.createDataFrame(data, "s1 string, bc string, region string")
+    got = model.sample_regions(ones, 600).collect()
+    sizes = {}
+    for _, bc, r in data:
+        sizes[bc, r] = sizes.get((bc, r), 0) + 1
+    taken = {}
+    for r in got:
+        if r.region:
+            taken.setdefault((r.bc, r.region), set()).add(r.s1)
+    assert all(len(v) == sizes[k] for k, v in taken.items())
+    for bc in ("us", "in"):
+        total = sum(n for (b, r), n in sizes.items() if b == bc and r)
+        assert 0.5 * total / 5 <= sum(len(v) for (b, _), v in taken.items() if b == bc) <= 1.6 * total / 5
+    assert sorted(map(str, got)) == sorted(map(str, model.sample_regions(ones.repartition(3), 600).collect()))
+
+
+@pytest.fixture(scope="module")
+def small_run(spark, sf_dir):
+    """Records of a few hundred entities, and a quick configuration."""
+    every = fixtures.records(spark, sf_dir).where("cast(substring(entity_id, -5) as int) <= 120")
+    truth = fixtures.truth(spark, sf_dir).join(every.select(F.col("entity_id").alias("cand")), "cand", "left_semi").join(every.select(F.col("entity_id").alias("s1")), "s1", "left_semi")
+    ones = fixtures.ones(spark, sf_dir).join(every.select(F.col("entity_id").alias("s1")), "s1", "left_semi")
+    quick = {"blocking": {"k": 8, "max_k": 6, "hop": {"anchor_rank": 3, "anchor_min_sim": 0.6, "k": 3, "min_sim": 0.5, "max_add": 2}}, "model": {"trees": 3, "depth": 3, "folds": 2, "seeds": [42]}, "loco": False}
+    quick["decide"] = {"grid": {"t_first": [0.3, 0.7, 0.2], "t_other": [0.5, 0.7, 0.2], "t_extra": [0.6, 0.8, 0.2]}}
+    return every, truth, ones, config.layered(quick, config.BASE)
+
+
+def test_training_scoring_and_registry(spark, small_run, tmp_path):
+    from kinlink.plans import jobs
+
+    every, truth, ones, settings = small_run
+    store = jobs.Store(str(tmp_path / "tables"), ("small",))
+    models, out, facts = jobs.train(every, truth, ones, settings, store)
+    assert out["breakdown"].where("bc is null").head().macro_f > 0.7 and facts["importance"] and len(models.stage2) == 1 and len(facts["trees"]) == 2
+    assert out["pairs"].columns[-8:] == list(metrics.KEY_FEATURES)
+    tables = sorted(p.name for p in (tmp_path / "tables").iterdir())
+    jobs.build_train(every, truth, settings, store)
+    assert sorted(p.name for p in (tmp_path / "tables").iterdir()) == tables  # nothing is made twice
+    registry = jobs.submit(spark, every, models, settings, str(tmp_path / "out"), "first", store)
+    assert registry.count() == 1 and registry.head().note == "first"
+    lists = records.read_tsv(spark, str(tmp_path / "out" / "matching_results"))
+    assert lists.count() == ones.count() and lists.columns == ["source1_entity_id", "matched_entity_ids"]
+    scores = spark.read.parquet(str(tmp_path / "out" / "scores"))
+    d = decide.prepare(scores)
+    assert decide.macro_f(decide.entity_f(decide.select(d, *models.thresholds), truth, ones)).head()[0] > 0.8
+    again, cands = jobs.finalise(scores, ones, models.thresholds)
+    assert again.count() <= cands.count() <= ones.count()
+    w = jobs.density_weights(out["scores"], ones, store, settings, models.thresholds)
+    assert w.agg(F.avg("w")).head()[0] == pytest.approx(1, abs=1e-3)
+
+
+def test_learned_pruner_and_blocking_only(spark, small_run):
+    from kinlink.plans import jobs
+
+    every, truth, ones, settings = small_run
+    left_out = ones.limit(30)
+    pruner, report = jobs.train_pruner(every, truth, settings, ones, left_out)
+    assert {r.k for r in report.collect()} == {1, 2, 3, 5, 10, 20, 50} and "prune_score" not in pruner[1]
+    learned = config.layered({"blocking": {"score": "learned", "hop": None}}, settings)
+    out = jobs.blocking_only(every, truth, ones, learned, pruner=pruner)
+    assert out["blocking"].head().pair_recall > 0.8 and out["missed_similarity"].count() in (0, 3)
+    with pytest.raises(ValueError, match="pruner"):
+        jobs.blocking_only(every, truth, ones, learned)
+
+
+def test_transfer_rank_modes_and_ablation(spark):
+    data = [("us" if k % 2 else "in", f"q{k}", f"c{j}", 2 + j % 2, float(j == 0), 1.0 if j == 0 else 0.1 * j, 1.0, float(k % 5)) for k in range(40) for j in range(3)]
+    df = spark.createDataFrame(data, "bc string, s1 string, cand string, cand_src int, y double, sim_name double, w double, chain_s1 double")
+    s = model.Settings(trees=2, depth=2, folds=2)
+    tested = model.rank_test(df, ["sim_name", "chain_s1"], s, ("none", "scale"))
+    assert all(t.count() == 120 and t.where("cand = 'c0' and p < 0.5").count() == 0 for t in tested.values())
+    without = dict(model.ablation(df, {k: v for k, v in config.ABLATIONS.items() if k in ("retrieval", "chain")}, s))
+    mean = lambda name, cand: without[name].where(F.col("cand") == cand).agg(F.round(F.avg("p"), 6)).head()[0]
+    assert mean("chain", "c0") > 0.6 > mean("chain", "c2") and mean("retrieval", "c0") == mean("retrieval", "c2")  # the similarity told them apart
+
+
+def test_models_are_saved(spark, tmp_path):
+    data = [("us", f"q{k}", "c", 2, float(k % 2), float(k % 2), 1.0) for k in range(40)]
+    df = spark.createDataFrame(data, "bc string, s1 string, cand string, cand_src int, y double, x double, w double")
+    s = model.Settings(trees=2, depth=2)
+    (m,) = model.fit_full(df, ["x"], s)
+    model.save(m, str(tmp_path / "m"))
+    a, b = (model.predict([x], df, ["x"], s).orderBy("s1").collect() for x in (m, model.load(str(tmp_path / "m"))))
+    assert a == b
+
+
+def test_archive(tmp_path):
+    import zipfile
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("a")
+    records.make_zip([str(tmp_path / "d")], str(tmp_path / "z.zip"))
+    assert zipfile.ZipFile(tmp_path / "z.zip").namelist() == ["d/a.txt"]
+
+
 def test_arrivals_are_linked(spark, sf_dir, tmp_path):
     from kinlink.streaming.incremental import link_arrivals
 

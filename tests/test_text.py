@@ -47,6 +47,22 @@ def test_accents(spark):
     assert one(spark, T.strip_accents, "Hôtel L’Étoile ﬁn Ａ") == "Hotel L’Etoile fin A"
 
 
+def test_accents_of_all_characters(spark):
+    import unicodedata
+
+    every = [chr(c) for c in [*range(1, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)]]
+    got = [r.x for r in spark.createDataFrame([(k, c) for k, c in enumerate(every)], "k int, c string").select("k", T.strip_accents(F.col("c")).alias("x")).orderBy("k").collect()]
+    want = ["".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in every]
+    assert [c for c, a, b in zip(every, got, want) if a != b] == []
+    assert one(spark, T.strip_accents, "½ № ĳ ǆ Ⅷ ℡ 𝒳 Ça") == "1⁄2 No ij dz VIII TEL X Ca"
+
+
+def test_phrases_in_table_order(spark):
+    table = {"virginia": "va", "west virginia": "wv", "new york": "ny", "iowa": "ia", "abc": "x"}
+    assert one(spark, lambda c: T.replace_phrases(c, table), "west virginia new york abc iowan iowa") == "west va ny abc iowan ia"
+    assert one(spark, lambda c: T.replace_phrases(c, table), "nothing here") == "nothing here"
+
+
 def test_transliteration(spark):
     assert one(spark, T.transliterate, "राम मार्केटिंग प्राइवेट लिमिटेड") == "ram marketing praivet limited"
     assert one(spark, T.transliterate, "plain aa") == "plain aa"
