@@ -497,7 +497,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     rows = docs.count()
     bits, count = segmentation(rows, similarity)
     words = max(MEASURED, -(-bits * count // 64) * 64) // 64
-    one, two = free_name("row", docs), free_name("row_", docs)
+    one, two = free_name("row_key", docs), free_name("row_check", docs)
     cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     marked = docs.withColumns({one: F.xxhash64(*cells), two: F.xxhash64(F.lit(1), *cells)})
 
