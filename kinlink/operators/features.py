@@ -145,8 +145,12 @@ def features(cands: DataFrame, records: DataFrame, weights: DataFrame) -> DataFr
     return context_features(df.drop(*spent))
 
 
-#: Columns carried into the second stage as x_*.
-CARRIED = "sim_name_addr sim_name sim_addr n_tset a_tset num_signed_diff num_state a_missing chain_s1 sib1_name_addr sib1_addr sib1_name sib2_name_addr cand_src prune_rank n_nospace_partial legal_canon_state n_full_tsort b_num1 a_num1 is_hop hop_best".split()
+# Columns carried into the second stage as x_*.
+CARRIED = [
+    "sim_name_addr", "sim_name", "sim_addr", "n_tset", "a_tset", "num_signed_diff", "num_state", "a_missing", "chain_s1",
+    "sib1_name_addr", "sib1_addr", "sib1_name", "sib2_name_addr", "cand_src", "prune_rank", "n_nospace_partial",
+    "legal_canon_state", "n_full_tsort", "b_num1", "a_num1", "is_hop", "hop_best",
+]
 
 
 def best_other(value: str, *group: str, ties: bool = False) -> Column:

@@ -17,6 +17,9 @@ VIEWS = ("name", "addr", "name_addr")
 #: Neighbours per view, least cosine, and the document frequency beyond which a token is left out of retrieval.
 K, MIN_SIM, MAX_DF = 60, 0.1, 20_000
 
+#: Documents of a token whose queries share one salt of the top-k join.
+SALT_DF = 2_000
+
 
 def name_document(df: DataFrame) -> Column:
     """R1. Name words, skeletons, order-free word pairs, joined forms and region tags."""
@@ -54,7 +57,7 @@ def inverse_frequencies(df: DataFrame, sizes: DataFrame, max_df: int = MAX_DF) -
 
 
 def postings(docs: DataFrame, max_df: int = MAX_DF) -> DataFrame:
-    """R7. (view, bc, id, src, tok, w): sublinear tf times idf, each document of unit length."""
+    """R7. (view, bc, id, src, tok, w, df): sublinear tf times idf, each document of unit length, and the token's document frequency."""
     counts = term_counts(docs)
     return weighed(counts, document_frequencies(counts, docs, max_df))
 
@@ -63,7 +66,7 @@ def weighed(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """R7. Term counts under given idf weights, each document of unit length."""
     raw = counts.join(idf, ["view", "bc", "tok"]).withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("view", "bc", "id")))
-    return raw.select("view", "bc", "id", "src", "tok", (F.col("raw") / length).alias("w"))
+    return raw.select("view", "bc", "id", "src", "tok", (F.col("raw") / length).alias("w"), "df")
 
 
 def ranked(pairs: DataFrame, group: list[str], score: str, name: str, tie: str = "cand") -> DataFrame:
@@ -74,12 +77,14 @@ def ranked(pairs: DataFrame, group: list[str], score: str, name: str, tie: str =
 def top_k(queries: DataFrame, pool: DataFrame, k: int = K, min_sim: float = MIN_SIM) -> DataFrame:
     """R8. (view, bc, s1, cand, sim, rank): for each query document the k pool documents of highest cosine >= min_sim.
 
-    The join on (view, bc, tok) is bounded by max_df; sums are combined before they are shuffled, and the rank limit is
-    applied before and after the exchange.
+    The join on (view, bc, tok) is bounded by max_df, and a frequent token's product is dealt out: its queries in SALT_DF documents
+    each a salt, its pool documents to every salt. Sums are combined before they are shuffled, and the rank limit is applied before
+    and after the exchange.
     """
-    a = queries.select("view", "bc", "tok", F.col("id").alias("s1"), F.col("w").alias("wa"))
-    b = pool.select("view", "bc", "tok", F.col("id").alias("cand"), F.col("w").alias("wb"))
-    sims = a.join(b, ["view", "bc", "tok"]).groupBy("view", "bc", "s1", "cand").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim"))
+    salts = F.ceil(F.col("df") / SALT_DF).cast("int")
+    a = queries.select("view", "bc", "tok", F.col("id").alias("s1"), F.col("w").alias("wa"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    b = pool.select("view", "bc", "tok", F.col("id").alias("cand"), F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    sims = a.join(b, ["view", "bc", "tok", "salt"]).groupBy("view", "bc", "s1", "cand").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim"))
     return ranked(sims.where(F.col("sim") >= min_sim), ["view", "bc", "s1"], "sim", "rank").where(F.col("rank") <= k)
 
 

@@ -219,7 +219,7 @@ def r5_r6_document_frequencies(s, d):
 
 @query(sql("post", "SELECT view, bc, id, src, tok, round(w, 6) AS w FROM post"))
 def r7_postings(s, d):
-    return post(s, d).withColumn("w", F.round("w", 6))
+    return post(s, d).withColumn("w", F.round("w", 6)).drop("df")
 
 
 @query(sql("found", "SELECT view, bc, s1, cand, sim, rank::INT AS rank FROM found"))
@@ -336,31 +336,61 @@ def sibling_features(s, d):
     return features.sibling_features(kept(s, d), post(s, d)).select("bc", "s1", "cand", "sib1_name_addr", "sib1_name")
 
 
-_CTX = ["ctx_rank_sim_name", "ctx_gap_sim_name", "ctx_rank_prune_score", "ctx_gap_prune_score", "ctx_n_cands", "ctx_src_count", "rev_rank_prune_score", "rev_gap_prune_score", "rev_rank_sim_name_addr", "rev_n_s1"]
+_MADE_SETS = ("CAST(floor(100 * sim_name) AS DOUBLE) AS n_tset", "CASE WHEN sim_addr = 0 THEN NULL ELSE CAST(floor(100 * sim_addr) AS DOUBLE) END AS a_tset")
 
 
-@query(sql("kept", """
-SELECT bc, s1, cand, rank() OVER (PARTITION BY bc, s1 ORDER BY sim_name DESC)::INT AS ctx_rank_sim_name, round(max(sim_name) OVER q - sim_name, 6) AS ctx_gap_sim_name,
-       rank() OVER (PARTITION BY bc, s1 ORDER BY prune_score DESC)::INT AS ctx_rank_prune_score, round(max(prune_score) OVER q - prune_score, 6) AS ctx_gap_prune_score,
-       count(*) OVER q AS ctx_n_cands, count(*) OVER (PARTITION BY bc, s1, left(cand, 2)) AS ctx_src_count,
-       rank() OVER (PARTITION BY bc, cand ORDER BY prune_score DESC)::INT AS rev_rank_prune_score, round(max(prune_score) OVER c - prune_score, 6) AS rev_gap_prune_score,
-       rank() OVER (PARTITION BY bc, cand ORDER BY sim_name_addr DESC)::INT AS rev_rank_sim_name_addr, count(*) OVER c AS rev_n_s1
-FROM kept WINDOW q AS (PARTITION BY bc, s1), c AS (PARTITION BY bc, cand)"""))
+def _competition(prefix: str, group: str, columns: tuple[str, ...]) -> str:
+    """SQL of the ranks and gaps within a group."""
+    parts = [f"CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY {group} ORDER BY {x} DESC NULLS LAST) END::INT AS {prefix}_rank_{x}, round(max({x}) OVER (PARTITION BY {group}) - {x}, 6) AS {prefix}_gap_{x}" for x in columns]
+    return ", ".join(parts)
+
+
+@query(sql("kept", f"""
+SELECT bc, s1, cand, {_competition('ctx', 'bc, s1', ('sim_name', 'sim_addr', 'prune_score', 'n_tset', 'a_tset'))}, {_competition('rev', 'bc, cand', ('prune_score', 'sim_name_addr', 'n_tset', 'a_tset'))},
+       count(*) OVER (PARTITION BY bc, s1) AS ctx_n_cands, count(*) OVER (PARTITION BY bc, s1, left(cand, 2)) AS ctx_src_count, count(*) FILTER (n_tset >= 90) OVER (PARTITION BY bc, s1) AS ctx_n_hi_name,
+       count(*) OVER (PARTITION BY bc, cand) AS rev_n_s1
+FROM (SELECT *, {', '.join(_MADE_SETS)} FROM kept)"""))
 def context_features(s, d):
-    rows = kept(s, d).withColumn("cand_src", F.substring("cand", 2, 1).cast("int"))
-    return features.context_features(rows).select("bc", "s1", "cand", *_CTX)
+    """All 22 columns; the token-set ratios are made of the cosines, so that SQL has them too."""
+    rows = kept(s, d).selectExpr("bc", "s1", "cand", "cast(substring(cand, 2, 1) as int) AS cand_src", "sim_name", "sim_addr", "sim_name_addr", "prune_score", *_MADE_SETS)
+    out = features.context_features(rows)
+    return out.select("bc", "s1", "cand", *(c for c in out.columns if c.startswith(("ctx_", "rev_"))))
+
+
+_MADE = {
+    "n_tset": "CAST(60 + (ks * 7 + kc * 3) % 41 AS DOUBLE)",
+    "sib1_name_addr": "CASE WHEN (ks + kc) % 5 = 0 THEN NULL ELSE CAST((ks * kc) % 100 AS DOUBLE) / 100 END",
+    "b_num1": "CASE WHEN kc % 7 = 0 THEN NULL ELSE CAST(kc % 9 AS DOUBLE) END",
+    "a_num1": "CASE WHEN ks % 6 = 0 THEN NULL ELSE CAST(ks % 9 AS DOUBLE) END",
+    "b_legal_code": "CASE WHEN kc % 4 = 0 THEN NULL ELSE CAST(kc % 3 AS DOUBLE) END",
+}
+_MADE |= {c: f"CAST((ks + {i} * kc) % 10 AS DOUBLE)" for i, c in enumerate(features.CARRIED) if c not in _MADE and c != "cand_src"}
+_RICH = f"""
+rich AS (SELECT s1, cand, cand_src, p, {', '.join(f'{v} AS {k}' for k, v in _MADE.items())} FROM (SELECT *, CAST(right(s1, 6) AS BIGINT) AS ks, CAST(right(cand, 6) AS BIGINT) AS kc FROM scored)),
+num AS (SELECT s1, v, n FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY n DESC, v) AS r FROM (SELECT s1, b_num1 AS v, count(*) AS n FROM rich WHERE p >= 0.9 AND b_num1 IS NOT NULL GROUP BY ALL)) WHERE r = 1),
+form AS (SELECT s1, v, n FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY n DESC, v) AS r FROM (SELECT s1, b_legal_code AS v, count(*) AS n FROM rich WHERE p >= 0.9 AND b_legal_code IS NOT NULL GROUP BY ALL)) WHERE r = 1),
+ranked AS (
+  SELECT *, max(p) OVER (PARTITION BY s1) AS ms, max(p) OVER (PARTITION BY cand) AS mc, row_number() OVER (PARTITION BY s1, cand_src ORDER BY p DESC, cand) AS nth,
+         count(*) FILTER (p >= 0.5 AND cand_src = 2) OVER (PARTITION BY s1) AS strong2, count(*) FILTER (p >= 0.5 AND cand_src = 3) OVER (PARTITION BY s1) AS strong3 FROM rich),
+rivals AS (SELECT *, CASE WHEN p >= mc THEN coalesce(max(p) FILTER (p < mc) OVER (PARTITION BY cand), 0) ELSE mc END AS c_other_best, CASE WHEN cand_src = 2 THEN strong2 ELSE strong3 END AS own_src_strong FROM ranked)
+"""
+_AGREES = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN -1.0::DOUBLE ELSE ({0} = {1})::INT::DOUBLE END"
 
 
-@query(sql("scored", """
-SELECT s1, cand, p AS p1, rank() OVER (PARTITION BY s1 ORDER BY p DESC)::INT AS s_rank, round(max(p) OVER s - p, 6) AS s_gap_top, max(p) OVER s AS s_top, round(sum(p) OVER s, 6) AS s_sum,
+@query(sql("scored", f"""
+SELECT r.s1, r.cand, p AS p1, rank() OVER (PARTITION BY r.s1 ORDER BY p DESC)::INT AS s_rank, round(ms - p, 6) AS s_gap_top, ms AS s_top, round(sum(p) OVER s, 6) AS s_sum,
        count(*) FILTER (p > 0.5) OVER s AS s_n_hi, count(*) OVER s AS s_n, coalesce(max(p) FILTER (p < ms) OVER s, 0) AS s_second, CASE WHEN p >= ms THEN coalesce(max(p) FILTER (p < ms) OVER s, 0) ELSE ms END AS s_other_best,
-       rank() OVER (PARTITION BY cand ORDER BY p DESC)::INT AS c_rank, CASE WHEN p >= mc THEN coalesce(max(p) FILTER (p < mc) OVER c, 0) ELSE mc END AS c_other_best, count(*) OVER c AS c_n,
-       rank() OVER (PARTITION BY s1, cand_src ORDER BY p DESC)::INT AS ss_rank, count(*) FILTER (p >= 0.5 AND cand_src = 2) OVER s AS s_n_strong_s2, count(*) FILTER (p >= 0.5 AND cand_src = 3) OVER s AS s_n_strong_s3,
-       max(p) OVER (PARTITION BY s1, cand_src) AS p_best_in_src
-FROM (SELECT *, max(p) OVER (PARTITION BY s1) AS ms, max(p) OVER (PARTITION BY cand) AS mc FROM scored) WINDOW s AS (PARTITION BY s1), c AS (PARTITION BY cand)"""))
+       rank() OVER (PARTITION BY r.cand ORDER BY p DESC)::INT AS c_rank, c_other_best, round(p - c_other_best, 6) AS c_margin, count(*) OVER (PARTITION BY r.cand) AS c_n,
+       rank() OVER (PARTITION BY r.s1, cand_src ORDER BY p DESC)::INT AS ss_rank, strong2 AS s_n_strong_s2, strong3 AS s_n_strong_s3, own_src_strong, strong2 + strong3 - own_src_strong AS other_src_strong,
+       (nth = 1 AND own_src_strong = 0)::INT::DOUBLE AS best_in_empty_src, max(p) OVER (PARTITION BY r.s1, cand_src) AS p_best_in_src,
+       round(n_tset - coalesce((SELECT max(o.n_tset) FROM rich o WHERE o.cand = r.cand AND o.s1 <> r.s1), 0), 6) AS name_rival_margin, round(coalesce(sib1_name_addr, 0) * ms, 6) AS sib_top_support,
+       {_AGREES.format('b_num1', 'num.v')} AS cons_num_eq, coalesce(num.n, 0) AS cons_num_n, b_num1 - num.v AS cons_num_diff, {_AGREES.format('a_num1', 'num.v')} AS cons_num_vs_s1,
+       {_AGREES.format('b_legal_code', 'form.v')} AS cons_legal_eq, coalesce(form.n, 0) AS cons_legal_n, {', '.join(f'r.{c} AS x_{c}' for c in features.CARRIED)}
+FROM rivals r LEFT JOIN num ON num.s1 = r.s1 LEFT JOIN form ON form.s1 = r.s1 WINDOW s AS (PARTITION BY r.s1)""", _RICH))
 def stage2_features(s, d):
-    out = features.stage2_features(fixtures.scored(s, d), "p")
-    return out.select("s1", "cand", "p1", "s_rank", "s_gap_top", "s_top", "s_sum", "s_n_hi", "s_n", "s_second", "s_other_best", "c_rank", "c_other_best", "c_n", "ss_rank", "s_n_strong_s2", "s_n_strong_s3", "p_best_in_src")
+    """All 50 columns, over made-up scores and carried columns."""
+    k = fixtures.scored(s, d).withColumns({"ks": F.expr("cast(right(s1, 6) as bigint)"), "kc": F.expr("cast(right(cand, 6) as bigint)")})
+    return features.stage2_features(k.withColumns({c: F.expr(v) for c, v in _MADE.items()}).drop("ks", "kc"), "p")
 
 
 @query()

@@ -68,8 +68,10 @@ def test_kernels_against_plain_definitions():
         a, b = text(4), text(4)
         assert K.indel(a, b) == pytest.approx(slow_indel(a, b))
         short, long = sorted((a, b), key=len)
-        parts = [long[i:j] for i in range(len(long)) for j in range(i + 1, len(long) + 1) if j - i == len(short) or (j - i < len(short) and (i == 0 or j == len(long)))]
-        assert K.partial(a, b) == pytest.approx(max([slow_indel(short, p) for p in parts], default=100.0 if not long else 0.0) if short else (0.0 if long else 100.0))
+        tried = []
+        for x, y in ((short, long), (long, short)) if len(a) == len(b) else ((short, long),):
+            tried += [slow_indel(x, y[i:j]) for i in range(len(y)) for j in range(i + 1, len(y) + 1) if j - i == len(x) or (j - i < len(x) and (i == 0 or j == len(y)))]
+        assert K.partial(a, b) == pytest.approx(max(tried) if short else (0.0 if long else 100.0))
         order = lambda s: " ".join(sorted(s.split()))
         assert K.token_sort(a, b) == pytest.approx(slow_indel(order(a), order(b)))
         x, y = set(a.split()), set(b.split())
