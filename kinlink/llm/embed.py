@@ -27,8 +27,13 @@ BLOCK = 2048
 PROJECTIONS = 32
 RECALL = 0.999
 
-#: Vectors that meet one of their group's cells by chance.
-CHANCE = 256
+#: Vectors that one meets by chance in a group's cell, and the width of the ranges in spreads of the difference of a pair at the
+#: threshold: wide ranges keep such pairs together, many projections keep others apart.
+CHANCE = 64
+WIDTH = 4
+
+#: Slots of the pairs of one cell or of several small ones, counted at once.
+SLOTS = 4 << 20
 
 #: Groups dealt out at once, which bounds the disk: each takes about the size of the vectors. Rows of one task.
 GROUPS_AT_ONCE = 4
@@ -65,7 +70,7 @@ def calibrated(dim: int, threshold: float, recall: float = RECALL) -> tuple[int,
 def grouping(dim: int, threshold: float, rows: int, recall: float = RECALL) -> tuple[int, int, float]:
     """(projections of a group, groups, range width): groups get longer with the logarithm of the rows, so that CHANCE vectors
     meet by chance, and there are so many that pairs at the threshold share a cell of one with probability `recall`."""
-    width = 4 * np.sqrt(max(2 - 2 * threshold, 1e-12) / dim)
+    width = WIDTH * np.sqrt(max(2 - 2 * threshold, 1e-12) / dim)
     x = np.random.default_rng([11, dim]).normal(size=(4096, 2, dim))
     x /= np.linalg.norm(x, axis=2, keepdims=True)
     one = directions(dim, 1, 13)[:, 0]
@@ -99,21 +104,42 @@ def collisions(a: np.ndarray, b: np.ndarray, half: int, least: int) -> tuple[np.
 
     b is sorted by each projection in turn; the window of a row of a is a range of the sorted list, whose rows it collides with.
     """
-    left, right = [], []
-    lists = [(order := np.argsort(b[:, k], kind="stable"), b[order, k].astype(np.int16)) for k in range(b.shape[1])]
-    rows = max(1, (1 << 20) // max(len(b), 1))
-    for lo in range(0, len(a), rows):
-        own = a[lo : lo + rows].astype(np.int16)
-        count = np.zeros(len(own) * len(b), np.uint8)
-        for k, (order, values) in enumerate(lists):
-            first, last = np.searchsorted(values, own[:, k] - half), np.searchsorted(values, own[:, k] + half, side="right")
-            size = last - first
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
-            count[order[place] + np.repeat(np.arange(len(own)) * len(b), size)] += 1  # a row is once in a window
-        hit = np.flatnonzero(count >= least)
-        left.append(hit // len(b) + lo)
-        right.append(hit % len(b))
-    return np.concatenate(left), np.concatenate(right)
+    count = np.zeros(len(a) * len(b), np.uint8)
+    for k in range(b.shape[1]):
+        order = np.argsort(b[:, k], kind="stable")
+        values, centre = b[order, k].astype(np.int16), a[:, k].astype(np.int16)
+        first = np.searchsorted(values, centre - np.int16(half))
+        size = np.searchsorted(values, centre + np.int16(half), side="right") - first
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+        count[np.repeat(np.arange(len(a)) * len(b), size) + order[place]] += 1  # a row is once in a window
+    hit = np.flatnonzero(count >= least)
+    return hit // len(b), hit % len(b)
+
+
+def collisions_in(q: np.ndarray, sizes: np.ndarray, half: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of rows of one cell that lie in each other's window on at least `least` projections; rows stand cell by cell.
+
+    One sort by cell and projection serves all cells; the window of a row is the part of the sorted list after it, up to half a window
+    on, within its cell.
+    """
+    begin = np.cumsum(sizes) - sizes
+    base = np.cumsum(sizes * sizes) - sizes * sizes
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    local = np.arange(len(q)) - begin[cell]
+    count = np.zeros(int((sizes * sizes).sum()), np.uint8)
+    after = np.arange(1, len(q) + 1)
+    for k in range(q.shape[1]):
+        key = (cell << 10) | q[:, k]  # cells lie further apart than any window reaches
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        size = np.searchsorted(key, key + half, side="right") - after
+        x, y = np.repeat(order, size), order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - after, size)]
+        low, high = local[np.minimum(x, y)], local[np.maximum(x, y)]
+        count[base[cell[x]] + low * sizes[cell[x]] + high] += 1  # a row is once in a window
+    hit = np.flatnonzero(count >= least)
+    at = np.searchsorted(base, hit, side="right") - 1
+    rest = hit - base[at]
+    return begin[at] + rest // sizes[at], begin[at] + rest % sizes[at]
 
 
 def linked(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -146,9 +172,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     wide = int(kind[2])
 
+    total = vectors.count()
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed, digest = [], []
+            packed, digest, spots = [], [], [None] * len(b)
             for v, known in zip(b[1].to_pylist(), b[0].is_valid().to_pylist()):
                 x = np.array([np.nan if c is None else c for c in v], np.float64) if v and known else np.zeros(1)
                 good = np.isfinite(x).all() and x.any()
@@ -156,90 +184,85 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 raw = np.ldexp(x, -np.frexp(np.abs(x).max())[1]).astype(kind).tobytes() if good else None
                 packed.append(raw)
                 digest.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
-            yield pa.record_batch([b[0].cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(digest, pa.binary())], ["vec_id", "raw", "digest"])
-
-    rows = cut(arrow(vectors.select("vec_id", "embedding"), pack, "vec_id long, raw binary, digest binary"))
+            lengths = np.array([len(x) // wide if x else 0 for x in packed])
+            for dim in np.unique(lengths[lengths > 0]).tolist():
+                own = np.flatnonzero(lengths == dim)
+                for i, at in zip(own, cells(unit([packed[i] for i in own], dim, kind), *grouping(dim, threshold, total))):
+                    spots[i] = at.astype(">u4").tobytes()
+            yield pa.record_batch([b[0].cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(digest, pa.binary()), pa.array(spots, pa.binary())], ["vec_id", "raw", "digest", "cells"])
+
+    rows = cut(arrow(vectors.select("vec_id", "embedding"), pack, "vec_id long, raw binary, digest binary, cells binary"))
     good = rows.where("digest is not null")
-    classes = cut(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw")))
-    total = classes.count()
+    classes = cut(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("cells").alias("cells")))
     dims = [r[0] // wide for r in classes.select(F.length("raw")).distinct().limit(1001).collect()]
     if len(dims) > 1000:
         raise ValueError("vectors of more than 1000 different lengths")
     most = max([grouping(d, threshold, total)[1] for d in dims], default=0)
 
     def dealt(first: int) -> DataFrame:
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                raw = b[2].to_pylist()
-                lengths = np.array([len(x) for x in raw])
-                for size in np.unique(lengths):
-                    own, dim = np.flatnonzero(lengths == size), int(size) // wide
-                    length, groups, width = grouping(dim, threshold, total)
-                    at = cells(unit([raw[i] for i in own], dim, kind), length, groups, width)
-                    some = [g for g in range(first, min(first + GROUPS_AT_ONCE, groups))]
-                    if not some:
-                        continue
-                    who = np.repeat(own, len(some))
-                    group = np.tile(np.array(some), len(own))
-                    cell = at[:, some].ravel().astype(np.int64) << 32 | group << 16 | dim & 0xFFFF
-                    all_cells = pa.array([x.tobytes() for x in at], pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), len(some))))
-                    pick = pa.array(who)
-                    yield pa.record_batch([pa.array(cell), pa.array(group.astype(np.int32)), b[0].take(pick), b[1].take(pick), b[2].take(pick), all_cells], ["cell", "group", "rep", "n", "raw", "cells"])
-
-        return arrow(classes.select("rep", "n", "raw"), deal, "cell long, group int, rep long, n long, raw binary, cells binary")
+        last = F.least(F.lit(first + GROUPS_AT_ONCE), F.expr("cast(length(cells) / 4 as int)")) - 1
+        every = classes.where(F.length("cells") > 4 * first).withColumn("group", F.explode(F.sequence(F.lit(first), last)))
+        every = every.withColumns({"cell": F.conv(F.hex(F.expr("substring(cells, group * 4 + 1, 4)")), 16, 10).cast("long"), "dim": (F.length("raw") / wide).cast("int")})
+        return every.select("cell", "group", "dim", "rep", "n", "raw", "cells")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        cell, other, block, rep, n = (table[c].to_numpy() for c in ("cell", "other", "block", "rep", "n"))
-        group, raw, every = table["group"].to_numpy(), table["raw"], table["cells"]
-        order = np.lexsort((block, other, cell))
-        edges = np.flatnonzero(np.concatenate(([True], (np.diff(cell[order]) != 0) | (np.diff(other[order]) != 0), [True])))
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            at = order[lo:hi]
-            if len(at) < 2:
-                continue
-            vectors_ = raw.take(pa.array(at)).to_pylist()
-            for size in np.unique([len(x) for x in vectors_]):
-                own = np.flatnonzero([len(x) == size for x in vectors_])
-                where, dim = at[own], int(size) // wide
-                half, least = calibrated(dim, threshold)
-                v = unit([vectors_[i] for i in own], dim, kind)
-                q = quantised(v)
-                here = np.frombuffer(b"".join(every.take(pa.array(where)).to_pylist()), np.uint32).reshape(len(own), -1)
-                first_, second = other[where[0]] >> 32, other[where[0]] & 0xFFFFFFFF
-                alone = first_ == second
-                a, b = np.flatnonzero(block[where] == first_), np.flatnonzero(block[where] == second)
+        del held
+        cell, group, dim, other, block, rep, n = (table[c].to_numpy() for c in ("cell", "group", "dim", "other", "block", "rep", "n"))
+        order = np.lexsort((other, group, cell, dim))
+        change = np.any([np.diff(x[order]) != 0 for x in (cell, group, dim, other)], axis=0)
+        heads = np.flatnonzero(np.concatenate(([True], change)))
+        sizes = np.diff(np.append(heads, len(order)))
+        heads, sizes = heads[sizes > 1], sizes[sizes > 1]
+        first, second = other[order[heads]] >> 32, other[order[heads]] & 0xFFFFFFFF
+        work = [(slice(k, k + 1), True) for k in np.flatnonzero(first != second)]
+        own = np.flatnonzero(first == second)
+        dims_ = dim[order[heads[own]]]
+        for d in np.unique(dims_):
+            some = own[dims_ == d]
+            turn = (np.cumsum(sizes[some].astype(np.int64) ** 2) - 1) // SLOTS
+            work += [(some[turn == t], False) for t in np.unique(turn)]
+        for these, apart_ in work:
+            where = np.concatenate([order[h : h + k] for h, k in zip(heads[these], sizes[these])])
+            width = int(dim[where[0]])
+            half, least = calibrated(width, threshold)
+            v = unit(table["raw"].take(pa.array(where)).to_pylist(), width, kind)
+            q = quantised(v)
+            if apart_:
+                a, b = (np.flatnonzero(block[where] == x[these][0]) for x in (first, second))
                 i, j = collisions(q[a], q[b], half, least)
                 i, j = a[i], b[j]
-                if alone:
-                    i, j = i[i < j], j[i < j]
-                good_ = linked(v, v, i, j, threshold)
-                i, j = i[good_], j[good_]
-                new = ~(here[i, : group[where[0]]] == here[j, : group[where[0]]]).any(axis=1)
-                i, j = i[new], j[new]
-                if not len(i):
-                    continue
-                ids, sizes = rep[where], n[where]
-                x, y = forest(ids[i], ids[j])
-                links = np.bincount(i, weights=sizes[j], minlength=len(ids)) + np.bincount(j, weights=sizes[i], minlength=len(ids))
-                some = np.flatnonzero(links)
-                end = pa.array(np.concatenate([y, np.zeros(len(some), np.int64)]), mask=np.arange(len(y) + len(some)) >= len(y))
-                yield pa.record_batch([pa.array(np.concatenate([x, ids[some]])), end, pa.array(np.concatenate([np.zeros(len(x), np.int64), links[some].astype(np.int64)]))], ["a", "b", "n"])
+            else:
+                i, j = collisions_in(q, sizes[these], half, least)
+            good_ = linked(v, v, i, j, threshold)
+            i, j = i[good_], j[good_]
+            spots = np.frombuffer(b"".join(table["cells"].take(pa.array(where)).to_pylist()), ">u4").reshape(len(where), -1)
+            before = np.arange(spots.shape[1]) < group[where][i][:, None]
+            new = ~((spots[i] == spots[j]) & before).any(axis=1)  # a pair counts in the first group that it shares a cell of
+            i, j = i[new], j[new]
+            if not len(i):
+                continue
+            ids, weight = rep[where], n[where]
+            x, y = forest(ids[i], ids[j])
+            links = np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j, weights=weight[i], minlength=len(ids))
+            some = np.flatnonzero(links)
+            end = pa.array(np.concatenate([y, np.zeros(len(some), np.int64)]), mask=np.arange(len(y) + len(some)) >= len(y))
+            yield pa.record_batch([pa.array(np.concatenate([x, ids[some]])), end, pa.array(np.concatenate([np.zeros(len(x), np.int64), links[some].astype(np.int64)]))], ["a", "b", "n"])
 
     found = None
     for first in range(0, most, GROUPS_AT_ONCE):
         every = dealt(first)
-        full = cut(every.groupBy("cell").count().where(F.col("count") > BLOCK))
+        full = cut(every.groupBy("cell", "group", "dim").count().where(F.col("count") > BLOCK))
         every = every.withColumns({"other": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
         if not full.isEmpty():
             # A row of a full cell is in one of its blocks and meets each block; `other` holds both numbers, the smaller one above.
-            every = every.join(full, "cell", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)))
+            every = every.join(full, ["cell", "group", "dim"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)))
             every = every.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks")).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             every = every.withColumn("other", F.shiftleft(F.least("block", "to"), 32).bitwiseOR(F.greatest("block", "to"))).drop("count", "blocks", "to")
-        every = every.repartition(parts_for(classes, total * GROUPS_AT_ONCE, TASK_ROWS), "cell", "other")
+        every = every.repartition(parts_for(classes, total * GROUPS_AT_ONCE, TASK_ROWS), "cell", "group", "dim", "other")
         part = cut(arrow(every, compare, "a long, b long, n long"))
         release_shuffles(spark)
         found = part if found is None else found.unionByName(part)

@@ -88,9 +88,10 @@ def brute_links(vectors, t=0.95):
     return {i: (n[i], top(i) if i in parent else i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_embeddings_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,slots", [(2048, 4 << 20), (8, 100)])
+def test_embeddings_against_brute_force(spark, monkeypatch, block, slots):
     monkeypatch.setattr(embed, "BLOCK", block)
+    monkeypatch.setattr(embed, "SLOTS", slots)
     monkeypatch.setattr(embed, "CHANCE", 16)
     embed.grouping.cache_clear()
     rng = np.random.default_rng(1)
@@ -128,6 +129,11 @@ def test_collision_windows_equal_their_definition():
     i, j = embed.collisions(a, b, 60, 14)
     near = (np.abs(a[:, None].astype(int) - b[None].astype(int)) <= 60).sum(axis=2) >= 14
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
+    near = (np.abs(a[:, None].astype(int) - a[None].astype(int)) <= 60).sum(axis=2) >= 14
+    sizes = np.array([7, 1, 12, 20])
+    cell = np.repeat(np.arange(4), sizes)
+    i, j = embed.collisions_in(a, sizes, 60, 14)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted((x, y) for x, y in zip(*(x.tolist() for x in np.nonzero(near))) if x < y and cell[x] == cell[y])
 
 
 def test_embeddings_awkward(spark):
