@@ -63,6 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
 
     sample = arrow(texts, bag, f"label {kind}, bag binary, key long").toArrow().sort_by("key")
     unpack, bags = zstandard.ZstdDecompressor().decompress, []
+    two = None
     for x in sample["bag"]:
         two = np.frombuffer(unpack(x.as_buffer()), "<u4").reshape(2, -1)
         bags.append((np.cumsum(two[0], dtype=np.uint32), two[1].astype(np.float32)))
@@ -75,9 +76,11 @@ def fit(docs: DataFrame, labels: DataFrame, shape: subword.Shape, per_class: int
     full = np.array([len(b) > 0 for b, _ in bags], bool)
     back = np.random.default_rng(shape.seed).random(len(bags)) < held_back
     own, kept = np.flatnonzero(full & ~back), np.flatnonzero(full & back)
-    model = subword.train([bags[i] for i in own], labels[own], classes, shape, weights[own])
+    taught, kept_bags = [bags[i] for i in own], [bags[i] for i in kept]
+    del bags, two
+    model = subword.train(taught, labels[own], classes, shape, weights[own])
     model.prior = np.array([counts[k] for k in classes]) / sum(counts.values())
-    subword.calibrate(model, subword.bag_logits(model, [bags[i] for i in kept]), labels[kept], weights[kept])
+    subword.calibrate(model, subword.bag_logits(model, kept_bags), labels[kept], weights[kept])
     return model
 
 

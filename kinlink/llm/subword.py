@@ -130,44 +130,45 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Batch:
-    """A minibatch: its rows, the buckets that occur, and its bags' entries by row and again by bucket."""
+    """A minibatch: its rows, the buckets that occur, and its bags' entries by bucket."""
 
     rows: np.ndarray
     used: np.ndarray
-    at: np.ndarray  # the bucket of each entry, as a place in used
-    heads: np.ndarray  # where each row's entries begin
-    weights: np.ndarray  # of each entry: its count as a share of the row's
-    order: np.ndarray  # the entries by bucket
-    row: np.ndarray  # their rows
-    starts: np.ndarray  # where each bucket's begin
+    starts: np.ndarray  # where each used bucket's entries begin
+    row: np.ndarray  # the row of each entry, as a place in rows
+    weights: np.ndarray  # its count as a share of the row's
 
-    def hidden(self, table: np.ndarray) -> np.ndarray:
-        """The rows' averages of their buckets' vectors."""
-        return np.add.reduceat(table[self.at] * self.weights[:, None], self.heads, axis=0)
+    def hidden(self, vectors: np.ndarray) -> np.ndarray:
+        """The rows' averages, from the vectors of the used buckets."""
+        each = np.repeat(vectors, np.diff(self.starts, append=len(self.row)), axis=0) * self.weights[:, None]
+        return np.stack([np.bincount(self.row, each[:, d], len(self.rows)) for d in range(each.shape[1])], axis=1).astype(np.float32)
 
     def gradient(self, back: np.ndarray) -> np.ndarray:
         """What the rows' gradients are for the used buckets."""
-        return np.add.reduceat(back[self.row] * self.weights[self.order, None], self.starts, axis=0)
+        return np.add.reduceat(back[self.row] * self.weights[:, None], self.starts, axis=0)
 
 
 def batched(rows: list[tuple[np.ndarray, np.ndarray]], shape: Shape, rng: np.random.Generator) -> list[Batch]:
-    """The non-empty bags in random minibatches, indexed once for all epochs."""
+    """The non-empty bags in random minibatches, indexed once for all epochs; the list of bags is emptied, to hold each entry once."""
     full = np.array([i for i, (b, _) in enumerate(rows) if len(b)], np.int64)
     order, out = rng.permutation(full), []
     for lo in range(0, len(order), shape.batch):
         pick = order[lo : lo + shape.batch]
-        lengths = np.array([len(rows[i][0]) for i in pick])
-        used, at = np.unique(np.concatenate([rows[i][0] for i in pick]), return_inverse=True)
-        weights = np.concatenate([rows[i][1] / max(rows[i][1].sum(), 1) ** shape.power for i in pick])
-        by = np.argsort(at, kind="stable").astype(np.int32)
-        row = np.repeat(np.arange(len(pick), dtype=np.uint8 if len(pick) < 256 else np.int32), lengths)[by]
-        starts = np.flatnonzero(np.diff(at[by], prepend=-1)).astype(np.int32)
-        out.append(Batch(pick, used, at.astype(np.int32), np.cumsum(lengths) - lengths, weights.astype(np.float32), by, row, starts))
+        buckets = np.concatenate([rows[i][0] for i in pick])
+        row = np.repeat(np.arange(len(pick), dtype=np.uint8 if len(pick) <= 256 else np.int32), [len(rows[i][0]) for i in pick])
+        weights = np.concatenate([(rows[i][1] / max(rows[i][1].sum(), 1) ** shape.power).astype(np.float32) for i in pick])
+        for i in pick:
+            rows[i] = None
+        by = np.argsort(buckets, kind="stable")
+        buckets = buckets[by]
+        starts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))).astype(np.int32)
+        out.append(Batch(pick, buckets[starts], starts, row[by], weights[by]))
+    rows.clear()
     return out
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: list, shape: Shape, weights: np.ndarray | None = None) -> Model:
-    """Fit embeddings and softmax together (minibatches in a new order each epoch, Adam steps of the stochastic gradient)."""
+    """Fit embeddings and softmax together (minibatches in a new order each epoch, Adam steps of the stochastic gradient). Empties rows."""
     rng = np.random.default_rng(shape.seed)
     k, buckets = len(classes), 1 << shape.bits
     params = [rng.normal(0, shape.spread, (buckets, shape.dim)).astype(np.float32), rng.normal(0, 1 / np.sqrt(shape.dim), (shape.dim, k)).astype(np.float32), np.zeros(k, np.float32)]
