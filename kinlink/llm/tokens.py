@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import arrow, prepare
+from kinlink.llm.common import arrow, cut, prepare
 
 #: A vocabulary file larger than this is not sent to the executors.
 MODEL_LIMIT = 64 << 20
@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     shipped = spark.sparkContext.broadcast(raw)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content_digest"))
-    first = rows.groupBy("content_digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("__first"))
+    first = cut(rows.groupBy("content_digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("__first")))
     misses = first.join(read_cache(spark, cache_path, version), "content_digest", "left_anti")
     wanted = misses.select(F.col("content_digest").alias("__digest"), F.xxhash64("__first.doc_id", "content_digest").alias("__row"))
     # The join key is unique among the misses and different for copies of a text, so no partition gets all of them.
@@ -80,6 +80,7 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
 
     fresh = arrow(texts, encode, "content_digest binary, n_tokens long").withColumn("tokenizer_digest", F.lit(version))
     fresh.select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache_path)
-    stored = read_cache(spark, cache_path, version)
+    # One row of each content of docs, written by itself: a content with very many copies is then split among tasks by the last join.
+    stored = cut(first.select("content_digest").join(read_cache(spark, cache_path, version), "content_digest"))
     counted = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("content_digest"))
     return counted.join(stored, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
