@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from kinlink.functions import kernels as K
-from kinlink.operators import decide, metrics, model
+from kinlink.operators import decide, metrics, model, retrieve
 from kinlink.plans import config
-from kinlink.plans.queries import ORACLES, QUERIES
+from kinlink.plans.queries import ORACLES, QUERIES, norm
 from kinlink.sources import fixtures, records
 
 TABLES = "customer nation part documents benchmark".split()
@@ -306,3 +306,15 @@ def test_arrivals_are_linked(spark, sf_dir, tmp_path):
     link_arrivals(spark, str(tmp_path / "in"), every.where("src <> 1"), str(tmp_path / "out"), str(tmp_path / "state"), k=5).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.select("s1").distinct().count() == 20 and found.agg(F.max("rank")).head()[0] <= 5
+
+
+def broadcasts(df):
+    """How many joins of a plan send one side to the driver by Spark's estimates."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_term_counts_are_not_broadcast(spark, sf_dir):
+    docs = retrieve.documents(norm(spark, sf_dir))
+    counts = retrieve.term_counts(docs)
+    idf = retrieve.document_frequencies(counts, docs)
+    assert broadcasts(retrieve.weighed(counts, idf)) <= broadcasts(idf)
