@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from kinlink.functions import kernels as K
-from kinlink.operators import decide, metrics, model, retrieve
+from kinlink.operators import decide, metrics, model, retrieve, tiles
 from kinlink.plans import config
 from kinlink.plans.queries import ORACLES, QUERIES, norm
 from kinlink.sources import fixtures, records
@@ -318,3 +318,44 @@ def test_term_counts_are_not_broadcast(spark, sf_dir):
     counts = retrieve.term_counts(docs)
     idf = retrieve.document_frequencies(counts, docs)
     assert broadcasts(retrieve.weighed(counts, idf)) <= broadcasts(idf)
+
+
+@pytest.fixture()
+def small_tiles(monkeypatch):
+    monkeypatch.setattr(tiles, "QUERY_DOCS", 3)
+    monkeypatch.setattr(tiles, "POOL_DOCS", 4)
+
+
+def made_postings(spark):
+    """Documents of few tokens, whose cosines tie; one has no token of another, and one is in two sources."""
+    rows = [(v, bc, f"{'S1' if n % 3 == 0 else 'S2'}-{n:02}", 1 if n % 3 == 0 else 2, f"t{t}", 0.1 + (n * t) % 4 / 10) for v in retrieve.VIEWS for bc in ("us", "fr") for n in range(40) for t in {n % 5, n % 7, 9 + n % 3}]
+    rows += [("name", "us", "S2-alone", 2, "other", 1.0), ("name", "us", "S2-01", 3, "t1", 0.25), ("name", "in", "S1-only", 1, "t1", 1.0), ("name", None, "S1-none", 1, "t1", 1.0)]
+    return rows, spark.createDataFrame(rows, "view string, bc string, id string, src int, tok string, w double").withColumn("df", F.lit(2))
+
+
+def products(rows, left, right):
+    out = {}
+    for v, bc, i, src, tok, w in rows:
+        for v2, bc2, j, src2, tok2, w2 in rows:
+            if bc and (v, bc, tok) == (v2, bc2, tok2) and left(src) and right(src2):
+                out[v, bc, i, j] = out.get((v, bc, i, j), 0) + w * w2
+    return {k: round(x, 6) for k, x in out.items()}
+
+
+def test_top_k_over_several_tiles(spark, small_tiles):
+    rows, post = made_postings(spark)
+    sims, want = products(rows, lambda x: x == 1, lambda x: x != 1), []
+    for group in {k[:3] for k in sims}:
+        best = sorted((-s, k[3]) for k, s in sims.items() if k[:3] == group and s >= 0.1)[:5]
+        want += [(*group, c, -s, n) for n, (s, c) in enumerate(best, 1)]
+    got = retrieve.top_k(post.where("src = 1"), post.where("src <> 1"), 5, 0.1).collect()
+    assert sorted((r.view, r.bc, r.s1, r.cand, round(r.sim, 6), r["rank"]) for r in got) == sorted(want)
+
+
+def test_pair_cosines_over_several_tiles(spark, small_tiles):
+    rows, post = made_postings(spark)
+    sims = products(rows, lambda x: True, lambda x: True)
+    pairs = [(bc, f"S1-{3 * n:02}", c) for bc in ("us", "fr", "in") for n in range(14) for c in ("S2-01", "S2-alone", "S2-07", "S1-09", "nobody")] + [("us", "nobody", "S2-01")]
+    got = retrieve.pair_cosine(spark.createDataFrame(pairs + pairs, "bc string, s1 string, cand string"), post).collect()
+    want = [(*p, *(sims.get((v, *p), 0.0) for v in retrieve.VIEWS)) for p in pairs]
+    assert sorted((r.bc, r.s1, r.cand, *(round(r[f"sim_{v}"], 6) for v in retrieve.VIEWS)) for r in got) == sorted(want)
