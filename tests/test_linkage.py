@@ -324,6 +324,7 @@ def test_term_counts_are_not_broadcast(spark, sf_dir):
 def small_tiles(monkeypatch):
     monkeypatch.setattr(tiles, "QUERY_DOCS", 3)
     monkeypatch.setattr(tiles, "POOL_DOCS", 4)
+    monkeypatch.setattr(tiles, "END_DOCS", 5)
 
 
 def made_postings(spark):
@@ -354,8 +355,8 @@ def test_top_k_over_several_tiles(spark, small_tiles):
 
 def test_pair_cosines_over_several_tiles(spark, small_tiles):
     rows, post = made_postings(spark)
-    sims = products(rows, lambda x: True, lambda x: True)
-    pairs = [(bc, f"S1-{3 * n:02}", c) for bc in ("us", "fr", "in") for n in range(14) for c in ("S2-01", "S2-alone", "S2-07", "S1-09", "nobody")] + [("us", "nobody", "S2-01")]
+    sims = products(rows, lambda x: x == 1, lambda x: x != 1)
+    pairs = [(bc, f"S1-{3 * n:02}", c) for bc in ("us", "fr", "in") for n in range(14) for c in ("S2-01", "S2-alone", "S2-07", "S2-10", "nobody")] + [("us", "nobody", "S2-01")]
     got = retrieve.pair_cosine(spark.createDataFrame(pairs + pairs, "bc string, s1 string, cand string"), post).collect()
     want = [(*p, *(sims.get((v, *p), 0.0) for v in retrieve.VIEWS)) for p in pairs]
     assert sorted((r.bc, r.s1, r.cand, *(round(r[f"sim_{v}"], 6) for v in retrieve.VIEWS)) for r in got) == sorted(want)
