@@ -265,6 +265,9 @@ RECALL = 0.99
 ROUTE_ROWS = 1 << 16
 LOOK = 64
 
+#: Pairs measured at once.
+DISTANCES = 1 << 18
+
 
 def differing(similarity: float) -> float:
     """The share of bits in which signatures of sets of this Jaccard similarity differ, on average and at most.
@@ -324,7 +327,8 @@ def near(f: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray
 
 
 def distance(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64)
+    parts = [np.bitwise_count(f[i[k : k + DISTANCES]] ^ f[j[k : k + DISTANCES]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), DISTANCES)]
+    return np.concatenate(parts or [np.empty(0, np.int64)])
 
 
 def closest(f: np.ndarray, own: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,9 +343,16 @@ def closest(f: np.ndarray, own: np.ndarray, left: np.ndarray) -> tuple[np.ndarra
     return best, least
 
 
+def within(f: np.ndarray, own: np.ndarray, left: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a row of own and a row of left that differ in at most `most` bits; a loop over the smaller of the two."""
+    few, many = (own, left) if len(own) <= len(left) else (left, own)
+    hits = [many[distance(f, np.full(len(many), x), many) <= most] for x in few]
+    return np.repeat(few, [len(h) for h in hits]), np.concatenate(hits or [many[:0]])
+
+
 def grown(f: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the rows of f: trees of links of at most `sure` bits, which connect all that such links connect, and between these
-    trees the least links found of at most `most` bits.
+    trees all links of at most `most` bits, any of which may prove right.
 
     A row that is in a tree is not looked at again, so that a group of near copies costs about its size and not its square.
     """
@@ -367,12 +378,9 @@ def grown(f: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
         left = left[tree[left] != k]
         if not len(left):
             break
-        who, d = closest(f, trees[k], left)
-        order = np.lexsort((d, tree[left]))
-        heads = order[np.concatenate(([True], np.diff(tree[left][order]) != 0))]
-        heads = heads[d[heads] <= most]
-        a.append(who[heads])
-        b.append(left[heads])
+        who, other = within(f, trees[k], left, most)
+        a.append(who)
+        b.append(other)
     return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
 
 
@@ -397,19 +405,21 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int) -> np
 
 def met(at: np.ndarray, rest: np.ndarray, f: np.ndarray, bits: int, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs that connect the rows of equal routes whose `rest` differs by at most one bit, by wildcard variants."""
-    found = []
+    found = np.empty(0, np.int64)  # pairs as one number each, once: most meet under several variants
     for k in range(bits // 2):
         key = (at << np.uint64(16)) | (rest & ~np.uint64(1 << k))
-        found.append(_links(key, lambda i, j: near(f, i, j, most), lambda rows: grown(f[rows], sure, most)))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        i, j = _links(key, lambda i, j: near(f, i, j, most), lambda rows: grown(f[rows], sure, most))
+        found = np.union1d(found, np.minimum(i, j) * len(f) + np.maximum(i, j))
+    return found // max(len(f), 1), found % max(len(f), 1)
 
 
 def candidates(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """(a, b, sure) links between signatures (cid, sig): sure ones, a spanning forest of each task's, and those to be verified.
+    """(a, b, sure, first) links between signatures (cid, sig): sure ones, a spanning forest of each task's, and those to be verified.
 
     A link is sure if the bits tell a similarity of SURE standard errors above the one asked for, and is to be verified down to
-    DOUBTFUL standard errors below it; of these a task hands on a least spanning forest of what its sure links leave unconnected. `rows`
-    says for how many signatures the segments are made.
+    DOUBTFUL standard errors below it; a task hands on all of these that its sure links leave unconnected, and a least spanning forest of
+    them as the first to look at: where these prove right, most of the others need no verifying. `rows` says for how many signatures the
+    segments are made.
     """
     bits, count = segmentation(rows, similarity)
     sure, most = (int(MEASURED * differing(similarity + k * error(similarity))) for k in (SURE, -DOUBTFUL))
@@ -445,10 +455,14 @@ def candidates(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
         ids, at = np.unique(np.concatenate([cid[i], cid[j]]), return_inverse=True)
         to = np.arange(len(ids))
         to[np.searchsorted(ids, a)] = np.searchsorted(ids, b)
-        rest = np.flatnonzero(d > sure)
-        rest = rest[spanning(to[at[: len(i)]][rest], to[at[len(i) :]][rest], d[rest], len(ids))]
+        p, q = to[at[: len(i)]], to[at[len(i) :]]
+        rest = np.flatnonzero((d > sure) & (p != q))
+        ends = np.minimum(cid[i[rest]], cid[j[rest]]), np.maximum(cid[i[rest]], cid[j[rest]])
+        rest = rest[np.unique(np.stack(ends), axis=1, return_index=True)[1]]  # a pair may meet in several variants
+        first = np.zeros(len(rest), bool)
+        first[spanning(p[rest], q[rest], d[rest], len(ids))] = True
         ends = np.concatenate([a, cid[i[rest]]]), np.concatenate([b, cid[j[rest]]])
-        yield pa.record_batch([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends)), pa.array(np.arange(len(ends[0])) < len(a))], ["a", "b", "sure"])
+        yield pa.record_batch([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends)), pa.array(np.arange(len(ends[0])) < len(a)), pa.array(np.concatenate([np.zeros(len(a), bool), first]))], ["a", "b", "sure", "first"])
 
     dealt = arrow(classes.select("cid", "sig"), deal, "at long, rest int, cid long, sig binary")
     some = classes.where(F.pmod(F.xxhash64("cid"), F.lit(LOOK)) == 0).select("sig")
@@ -459,7 +473,7 @@ def candidates(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
         dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks = 1, array(-1L), filter(sequence(0L, blocks - 1), x -> x <> own))")))
         dealt = dealt.withColumn("at", F.when(F.col("other") < 0, F.col("at")).otherwise(F.xxhash64("at", F.least("own", "other"), F.greatest("own", "other")))).select("at", "rest", "cid", "sig")
-    return arrow(dealt.repartition(parts_for(classes, 2 * count * rows, VARIANT_ROWS // 4), "at"), link, "a long, b long, sure boolean")
+    return arrow(dealt.repartition(parts_for(classes, 2 * count * rows, VARIANT_ROWS // 4), "at"), link, "a long, b long, sure boolean, first boolean")
 
 
 def verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -491,7 +505,8 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
 
     Signatures are cut into so many segments that pairs at the threshold differ in one of these by at most one bit with probability
     RECALL, more alike ones nearly always; each segment goes to two tasks, where its one-wildcard variants are made, equal ones meet and
-    pairs are measured. Equal signatures are one class; tasks hand on spanning forests, never pairs.
+    pairs are measured. Equal signatures are one class; tasks hand on a spanning forest of their sure links, and every doubtful one between
+    its trees: a least forest of these is verified first, then what is still unconnected.
     """
     prepare(docs.sparkSession)
     rows = docs.count()
@@ -511,17 +526,23 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "one", "two")).alias("first")
     classes = cut(signed.groupBy("sig").agg(first).withColumn("cid", F.monotonically_increasing_id()))
     links = cut(candidates(classes, rows, similarity))
-    certain = links.where("sure").select("a", "b")
-    known = components(certain)
-    open_ = links.where("not sure").select("a", "b").distinct()
-    for end in ("a", "b"):
-        open_ = open_.join(known.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
-    open_ = cut(open_.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
-    if not open_.isEmpty():
+    certain, tried = links.where("sure").select("a", "b"), None
+    for some in ("first", "not first"):
+        open_ = links.where(f"not sure and {some}").select("a", "b").distinct()
+        if tried is not None:
+            open_ = open_.join(tried, ["a", "b"], "left_anti")
+        if open_.isEmpty():
+            continue
+        known = components(certain)
+        for end in ("a", "b"):
+            open_ = open_.join(known.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+        open_ = cut(open_.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
+        if open_.isEmpty():
+            continue
         ends = open_.select(F.col("a").alias("cid")).union(open_.select("b")).distinct()
         ends = ends.join(classes.select("cid", F.col("first.one").alias(one), F.col("first.two").alias(two)), "cid")
         texts = marked.join(ends, [one, two]).select("cid", "text").dropDuplicates(["cid"])
-        certain = certain.unionByName(verified(open_, texts, size, similarity))
+        certain, tried = cut(certain.unionByName(verified(open_, texts, size, similarity))), open_
     joined = components(certain)
     groups = classes.select("cid", "first").join(joined, F.col("cid") == F.col("id"), "left")
     kept = groups.groupBy(F.coalesce("component", "cid").alias("group")).agg(F.min("first").alias("first")).select("first.one", "first.two")

@@ -158,6 +158,27 @@ def test_near_duplicates_of_known_similarity(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == got
 
 
+def test_links_beside_doubtful_ones_that_prove_wrong_stay(spark):
+    """Of three texts two are just similar enough and the third to neither, though bits may tell it more alike."""
+    data = []
+    for k in range(40):
+        one = [f"w{k}x{i}" for i in range(400)]
+        two, three = list(one), list(one)
+        for p in range(20, 340, 40):
+            two[p], three[p] = f"t{k}x{p}", f"h{k}x{p}"
+        three[380] = "other"
+        data += [(3 * k, " ".join(one)), (3 * k + 1, " ".join(two)), (3 * k + 2, " ".join(three))]
+    want = {i for i, _ in brute_near(data)}
+    assert want == {i for i, _ in data if i % 3 != 1}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # all links meet in one task
+    try:
+        got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert want <= got and len(got - want) <= 2
+
+
 def test_trees_connect_what_links_connect():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (6, 8), dtype=np.uint64)
