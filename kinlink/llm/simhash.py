@@ -265,6 +265,9 @@ RECALL = 0.99
 ROUTE_ROWS = 1 << 16
 LOOK = 64
 
+#: Hashes of the sets of a group that meet in one task; larger groups meet block by block.
+SET_HASHES = 1 << 20
+
 #: Pairs measured at once.
 DISTANCES = 1 << 18
 
@@ -343,16 +346,36 @@ def closest(f: np.ndarray, own: np.ndarray, left: np.ndarray) -> tuple[np.ndarra
     return best, least
 
 
-def within(f: np.ndarray, own: np.ndarray, left: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a row of own and a row of left that differ in at most `most` bits; a loop over the smaller of the two."""
+def within(f: np.ndarray, own: np.ndarray, left: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of either side the pair with the row of the other side that differs least, if in at most `most` bits: (of own, of left, bits)."""
     few, many = (own, left) if len(own) <= len(left) else (left, own)
-    hits = [many[distance(f, np.full(len(many), x), many) <= most] for x in few]
-    return np.repeat(few, [len(h) for h in hits]), np.concatenate(hits or [many[:0]])
+    best, least = np.zeros(len(many), np.int64), np.full(len(many), 1 << 30)
+    nearest, bits = np.zeros(len(few), np.int64), np.full(len(few), 1 << 30)
+    for k, x in enumerate(few):
+        d = distance(f, np.full(len(many), x), many)
+        better = d < least
+        best[better], least[better] = x, d[better]
+        nearest[k] = many[at := int(d.argmin())]
+        bits[k] = d[at]
+    a, b, d = np.concatenate([best, few]), np.concatenate([many, nearest]), np.concatenate([least, bits])
+    a, b, d = a[d <= most], b[d <= most], d[d <= most]
+    return (a, b, d) if few is own else (b, a, d)
+
+
+def sparse(a: np.ndarray, b: np.ndarray, weight: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """Of the links (a[i], b[i]) between rows of different trees as many as there are rows, at most twice: a least spanning forest of the
+    trees, and each row's least link."""
+    forest_ = spanning(tree[a], tree[b], weight, len(tree))
+    ends, at = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((weight[at], ends))
+    heads = order[np.concatenate((np.ones(min(len(order), 1), bool), np.diff(ends[order]) != 0))]
+    return np.union1d(forest_, at[heads]).astype(np.int64)
 
 
 def grown(f: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows of f: trees of links of at most `sure` bits, which connect all that such links connect, and between these
-    trees all links of at most `most` bits, any of which may prove right.
+    """Links among the rows of f: trees of links of at most `sure` bits, which connect all that such links connect; and of the links of at
+    most `most` bits between these trees, any of which may prove right, so many that they connect what all connect and that every row that
+    has one is the end of one.
 
     A row that is in a tree is not looked at again, so that a group of near copies costs about its size and not its square.
     """
@@ -373,15 +396,18 @@ def grown(f: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     for k, rows in enumerate(trees):
         tree[rows] = k
     todo = np.argsort([-len(rows) for rows in trees], kind="stable")
-    left = np.arange(len(f))
+    left, found = np.arange(len(f)), (np.empty(0, np.int64),) * 3
     for k in todo:
         left = left[tree[left] != k]
         if not len(left):
             break
-        who, other = within(f, trees[k], left, most)
-        a.append(who)
-        b.append(other)
-    return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
+        found = tuple(map(np.concatenate, zip(found, within(f, trees[k], left, most))))
+        if len(found[0]) > max(DISTANCES, 8 * len(f)):
+            few = sparse(*found, tree)
+            found = tuple(x[few] for x in found)
+    few = sparse(*found, tree)
+    a, b = [*a, found[0][few]], [*b, found[1][few]]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int) -> np.ndarray:
@@ -403,23 +429,30 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, nodes: int) -> np
         root = to[root]
 
 
-def met(at: np.ndarray, rest: np.ndarray, f: np.ndarray, bits: int, sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that connect the rows of equal routes whose `rest` differs by at most one bit, by wildcard variants."""
-    found = np.empty(0, np.int64)  # pairs as one number each, once: most meet under several variants
+def met(at: np.ndarray, rest: np.ndarray, f: np.ndarray, bits: int, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs that connect the rows of equal routes whose `rest` differs by at most one bit, by wildcard variants, and whether a pair
+    stands for others of its rows, which grown() left out."""
+    found, few = np.empty(0, np.int64), [np.empty(0, np.int64)]  # pairs as one number each, once: most meet under several variants
+    number = lambda i, j: np.minimum(i, j) * len(f) + np.maximum(i, j)
+
+    def among(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = grown(f[rows], sure, most)
+        few.append(np.unique(number(rows[i], rows[j])))
+        return i, j
+
     for k in range(bits // 2):
         key = (at << np.uint64(16)) | (rest & ~np.uint64(1 << k))
-        i, j = _links(key, lambda i, j: near(f, i, j, most), lambda rows: grown(f[rows], sure, most))
-        found = np.union1d(found, np.minimum(i, j) * len(f) + np.maximum(i, j))
-    return found // max(len(f), 1), found % max(len(f), 1)
+        found = np.union1d(found, number(*_links(key, lambda i, j: near(f, i, j, most), among)))
+    return found // max(len(f), 1), found % max(len(f), 1), np.isin(found, np.unique(np.concatenate(few)))
 
 
 def candidates(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
-    """(a, b, sure, first) links between signatures (cid, sig): sure ones, a spanning forest of each task's, and those to be verified.
+    """(a, b, sure) links between signatures (cid, sig): sure ones, a spanning forest of each task's, and doubtful ones.
 
-    A link is sure if the bits tell a similarity of SURE standard errors above the one asked for, and is to be verified down to
-    DOUBTFUL standard errors below it; a task hands on all of these that its sure links leave unconnected, and a least spanning forest of
-    them as the first to look at: where these prove right, most of the others need no verifying. `rows` says for how many signatures the
-    segments are made.
+    A link is sure if the bits tell a similarity of SURE standard errors above the one asked for, and doubtful down to DOUBTFUL standard
+    errors below it. Of the doubtful ones between its sure trees a task hands on a spanning forest and one for each row that has any, not
+    all, which grow with the square of a group: they tell which rows may link, whose pairs proven() looks at. `rows` says for how many
+    signatures the segments are made.
     """
     bits, count = segmentation(rows, similarity)
     sure, most = (int(MEASURED * differing(similarity + k * error(similarity))) for k in (SURE, -DOUBTFUL))
@@ -449,20 +482,17 @@ def candidates(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
         at, rest, cid, f = (np.concatenate(x) for x in zip(*parts))
         # Routes are numbered anew within the task, so that they and a wildcard variant make one key.
         at = np.unique(at, return_inverse=True)[1].astype(np.uint64)
-        i, j = met(at, rest, f, bits, sure, most)
+        i, j, few = met(at, rest, f, bits, sure, most)
         d = distance(f, i, j)
         a, b = forest(cid[i[d <= sure]], cid[j[d <= sure]])
         ids, at = np.unique(np.concatenate([cid[i], cid[j]]), return_inverse=True)
         to = np.arange(len(ids))
         to[np.searchsorted(ids, a)] = np.searchsorted(ids, b)
         p, q = to[at[: len(i)]], to[at[len(i) :]]
-        rest = np.flatnonzero((d > sure) & (p != q))
-        ends = np.minimum(cid[i[rest]], cid[j[rest]]), np.maximum(cid[i[rest]], cid[j[rest]])
-        rest = rest[np.unique(np.stack(ends), axis=1, return_index=True)[1]]  # a pair may meet in several variants
-        first = np.zeros(len(rest), bool)
-        first[spanning(p[rest], q[rest], d[rest], len(ids))] = True
+        rest = np.flatnonzero((d > sure) & ((p != q) | few))  # rows of one tree by now may have had others to link with
+        rest = rest[sparse(at[: len(i)][rest], at[len(i) :][rest], (d + MEASURED * (p == q))[rest], to)]
         ends = np.concatenate([a, cid[i[rest]]]), np.concatenate([b, cid[j[rest]]])
-        yield pa.record_batch([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends)), pa.array(np.arange(len(ends[0])) < len(a)), pa.array(np.concatenate([np.zeros(len(a), bool), first]))], ["a", "b", "sure", "first"])
+        yield pa.record_batch([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends)), pa.array(np.arange(len(ends[0])) < len(a))], ["a", "b", "sure"])
 
     dealt = arrow(classes.select("cid", "sig"), deal, "at long, rest int, cid long, sig binary")
     some = classes.where(F.pmod(F.xxhash64("cid"), F.lit(LOOK)) == 0).select("sig")
@@ -473,11 +503,56 @@ def candidates(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
         dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks = 1, array(-1L), filter(sequence(0L, blocks - 1), x -> x <> own))")))
         dealt = dealt.withColumn("at", F.when(F.col("other") < 0, F.col("at")).otherwise(F.xxhash64("at", F.least("own", "other"), F.greatest("own", "other")))).select("at", "rest", "cid", "sig")
-    return arrow(dealt.repartition(parts_for(classes, 2 * count * rows, VARIANT_ROWS // 4), "at"), link, "a long, b long, sure boolean, first boolean")
+    return arrow(dealt.repartition(parts_for(classes, 2 * count * rows, VARIANT_ROWS // 4), "at"), link, "a long, b long, sure boolean")
+
+
+def shared(sets: list[np.ndarray], similarity: float, f: np.ndarray, most: int, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect the rows whose sets have a Jaccard similarity of `similarity` or more, as far as `tree` does not already and
+    signatures differ in at most `most` bits. A row that is connected is not looked at again."""
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, np.int64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    at = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    order = np.argsort(tree, kind="stable")
+    left, a, b = order, [], []
+    while len(left):
+        inside = tree[left] == tree[left[0]]
+        queue, left = left[inside].tolist(), left[~inside]
+        while queue and len(left):
+            x = queue.pop()
+            near_ = left[distance(f, np.full(len(left), x), left) <= most]
+            if not len(near_):
+                continue
+            own = codes[at[x] : at[x] + sizes[x]]
+            mark[own] = True
+            hits = []
+            for lo in range(0, len(near_), 256):
+                some = near_[lo : lo + 256]
+                n = sizes[some]
+                heads = np.cumsum(n) - n
+                which = np.repeat(np.arange(len(some)), n)
+                both = np.bincount(which, mark[codes[np.arange(int(n.sum())) + (at[some] - heads)[which]]], len(some))
+                hits.append(some[both >= similarity * (len(own) + n - both) - 1e-9])
+            mark[own] = False
+            hit = np.concatenate(hits)
+            if len(hit):
+                _, one = np.unique(tree[hit], return_index=True)  # a row for each tree says it all
+                a.append(np.full(len(one), x))
+                b.append(hit[one])
+                joins = np.isin(tree[left], tree[hit])
+                queue += left[joins].tolist()
+                left = left[~joins]
+    return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
 
 
-def verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of links (a, b) whose texts (cid, text; one row for each end) have sets of shingles of at least that Jaccard similarity."""
+def proven(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b) links between members (cid, tree, group, sig) of a group that connect those of different trees whose texts (cid, text; one row for
+    each member) have sets of shingles of at least that Jaccard similarity.
+
+    The rows of a group meet with their sets in one task up to SET_HASHES hashes; beyond, blocks of it meet pair by pair.
+    """
+    most = int(MEASURED * differing(similarity - DOUBTFUL * error(similarity)))
+    known = MEASURED // 64
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -486,13 +561,32 @@ def verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -
                 for d, own in enumerate(np.split(h, np.cumsum(n)[:-1])):
                     held[lo + d].append(np.unique(own))
             own = [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in held]
-            edges = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-            yield pa.record_batch([b[0], pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(own).view(np.int64)))], ["cid", "set"])
+            yield pa.record_batch([b[0], pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["cid", "hashes", "set"])
 
-    known = cut(arrow(texts, sets, "cid long, set array<long>"))
-    both = links.join(known.withColumnsRenamed({"cid": "a", "set": "x"}), "a").join(known.withColumnsRenamed({"cid": "b", "set": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        at, cid, tree = (rows[c].to_numpy() for c in ("at", "cid", "tree"))
+        order = np.argsort(at, kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0, [True])))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            own = order[lo:hi]
+            if len(np.unique(tree[own])) < 2:
+                continue
+            here = rows.select(["sig", "set"]).take(pa.array(own))
+            f = np.frombuffer(b"".join(here["sig"].to_pylist()), "<u8").reshape(len(own), -1)[:, :known]
+            i, j = shared([np.frombuffer(x, "<u8") for x in here["set"].to_pylist()], similarity, f, most, tree[own])
+            yield pa.record_batch([pa.array(cid[own[i]]), pa.array(cid[own[j]])], ["a", "b"])
+
+    full = cut(members.join(arrow(texts, sets, "cid long, hashes long, set binary"), "cid"))
+    sized = full.groupBy("group").agg(F.ceil(F.sum("hashes") / SET_HASHES).alias("blocks"))
+    dealt = full.join(sized, "group").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), x -> x <> own))")))
+    dealt = dealt.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("at"), "cid", "tree", "sig", "set")
+    hashes = full.agg(F.sum("hashes")).head()[0] or 0
+    return arrow(dealt.repartition(parts_for(texts, hashes, 4 * SET_HASHES), "at"), link, "a long, b long")
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -505,8 +599,8 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
 
     Signatures are cut into so many segments that pairs at the threshold differ in one of these by at most one bit with probability
     RECALL, more alike ones nearly always; each segment goes to two tasks, where its one-wildcard variants are made, equal ones meet and
-    pairs are measured. Equal signatures are one class; tasks hand on a spanning forest of their sure links, and every doubtful one between
-    its trees: a least forest of these is verified first, then what is still unconnected.
+    pairs are measured. Equal signatures are one class; tasks hand on a spanning forest of their sure links and, of the doubtful ones
+    between its trees, as many as tell which rows may link. Those that sure links leave apart meet once more, with their sets of shingles.
     """
     prepare(docs.sparkSession)
     rows = docs.count()
@@ -526,23 +620,19 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "one", "two")).alias("first")
     classes = cut(signed.groupBy("sig").agg(first).withColumn("cid", F.monotonically_increasing_id()))
     links = cut(candidates(classes, rows, similarity))
-    certain, tried = links.where("sure").select("a", "b"), None
-    for some in ("first", "not first"):
-        open_ = links.where(f"not sure and {some}").select("a", "b").distinct()
-        if tried is not None:
-            open_ = open_.join(tried, ["a", "b"], "left_anti")
-        if open_.isEmpty():
-            continue
+    certain, doubtful = links.where("sure").select("a", "b"), links.where("not sure").select("a", "b")
+    ends = doubtful.select(F.col("a").alias("cid")).union(doubtful.select("b")).distinct()
+    if not ends.isEmpty():
         known = components(certain)
+        ends = cut(ends.join(known, F.col("cid") == F.col("id"), "left").select("cid", F.coalesce("component", "cid").alias("tree")))
+        trees = doubtful.distinct()
         for end in ("a", "b"):
-            open_ = open_.join(known.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
-        open_ = cut(open_.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
-        if open_.isEmpty():
-            continue
-        ends = open_.select(F.col("a").alias("cid")).union(open_.select("b")).distinct()
-        ends = ends.join(classes.select("cid", F.col("first.one").alias(one), F.col("first.two").alias(two)), "cid")
-        texts = marked.join(ends, [one, two]).select("cid", "text").dropDuplicates(["cid"])
-        certain, tried = cut(certain.unionByName(verified(open_, texts, size, similarity))), open_
+            trees = trees.join(ends.select(F.col("cid").alias(end), F.col("tree").alias(f"{end}_in")), end)
+        apart = components(trees.where("a_in <> b_in").select("a_in", "b_in").distinct(), "a_in", "b_in")
+        members = ends.join(apart.select(F.col("id").alias("tree"), F.col("component").alias("group")), "tree")
+        members = cut(members.join(classes.select("cid", "sig", F.col("first.one").alias(one), F.col("first.two").alias(two)), "cid"))
+        texts = marked.join(members.select("cid", one, two).hint("merge"), [one, two]).select("cid", "text").dropDuplicates(["cid"])
+        certain = cut(certain.unionByName(proven(members.drop(one, two), texts, size, similarity)))
     joined = components(certain)
     groups = classes.select("cid", "first").join(joined, F.col("cid") == F.col("id"), "left")
     kept = groups.groupBy(F.coalesce("component", "cid").alias("group")).agg(F.min("first").alias("first")).select("first.one", "first.two")

@@ -179,6 +179,48 @@ def test_links_beside_doubtful_ones_that_prove_wrong_stay(spark):
     assert want <= got and len(got - want) <= 2
 
 
+def test_doubtful_links_grow_with_rows_and_lose_none(spark):
+    """200 texts of about 0.66 to 0.82 to each other, above and below the threshold: by bits most links are doubtful."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    data = []
+    for k in range(200):
+        w = list(base)
+        for p in rng.sample(range(400), rng.choice([4, 8])):
+            w[p] = f"e{k}x{p}"
+        data.append((k, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    buf = np.frombuffer("".join(t for _, t in data).encode(), np.uint8)
+    sig = simhash.signatures(buf, np.concatenate(([0], np.cumsum([len(t) for _, t in data]))), 5, 8)
+    classes = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sig)], "cid long, sig binary")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert simhash.candidates(classes, len(data), 0.8).count() <= 3 * len(data)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    want = {i for i, _ in brute_near(data)}
+    assert 1 < len(want) < len(data) and {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
+@pytest.mark.parametrize("hashes", [1 << 20, 400])
+def test_rows_that_may_link_are_verified(spark, monkeypatch, hashes):
+    """Also when the rows of a group meet in blocks."""
+    monkeypatch.setattr(simhash, "SET_HASHES", hashes)
+    words = [[f"w{i}" for i in range(100)] for _ in range(6)]
+    for k, changed in enumerate([0, 2, 0, 12, 14, 30]):
+        for p in range(changed):
+            words[k][-1 - p] = f"x{changed}y{p}"
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "cid long, text string")
+    sig = bytes(64)
+    members = spark.createDataFrame([(k, t, 0, sig) for k, t in enumerate([0, 1, 2, 3, 4, 5])], "cid long, tree long, group long, sig binary")
+    got = simhash.proven(members, texts, 5, 0.8).collect()
+    linked = dict(zip(*(v.tolist() for v in simhash.forest(np.array([r.a for r in got]), np.array([r.b for r in got])))))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    pairs = [(i, j) for i in range(6) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert linked == dict(zip(*(v.tolist() for v in simhash.forest(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))))) and 0 < len(linked) < 5
+
+
 def test_trees_connect_what_links_connect():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (6, 8), dtype=np.uint64)
