@@ -25,7 +25,7 @@ def with_sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
 def token_features(pairs: DataFrame, idf: DataFrame) -> DataFrame:
     """K11. (bc, s1, cand) with n_jacc, n_idf_overlap, n_max_idf_unshared, n_max_idf_shared; from a_name_core and b_name_core."""
     each = pairs.select("bc", "s1", "cand", "a_name_core", "b_name_core", F.explode(F.array_union("a_name_core", "b_name_core")).alias("tok"))
-    each = each.withColumn("both", F.array_contains("a_name_core", F.col("tok")) & F.array_contains("b_name_core", F.col("tok"))).join(idf, ["bc", "tok"], "left")
+    each = each.withColumn("both", F.array_contains("a_name_core", F.col("tok")) & F.array_contains("b_name_core", F.col("tok"))).join(large(idf), ["bc", "tok"], "left")
     w = F.col("idf")
     return each.groupBy("bc", "s1", "cand").agg(
         F.avg(F.col("both").cast("double")).alias("n_jacc"),
