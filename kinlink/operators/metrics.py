@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.operators.retrieve import VIEWS, pair_cosine
+from kinlink.operators.retrieve import VIEWS, large, pair_cosine
 
 def f_half(n_pred: Column, n_truth: Column, tp: Column) -> Column:
     """G1. F0.5 from counts: 1 if nothing is true and nothing predicted, 0 without a hit."""
@@ -225,7 +225,7 @@ def self_check(matches: DataFrame, cands: DataFrame, ones: DataFrame) -> DataFra
 
 def missed_pairs(truth: DataFrame, cands: DataFrame) -> DataFrame:
     """D16. True pairs that were not retrieved."""
-    return truth.select("s1", "cand").join(cands.select("s1", "cand"), ["s1", "cand"], "left_anti")
+    return truth.select("s1", "cand").join(large(cands.select("s1", "cand")), ["s1", "cand"], "left_anti")
 
 
 def missed_similarity(missed: DataFrame, records: DataFrame, weights: DataFrame, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
