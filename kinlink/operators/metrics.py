@@ -70,7 +70,7 @@ def expected_calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def unique_positives(found: DataFrame, truth: DataFrame) -> DataFrame:
     """G7. (view, n): true pairs that only this view returned, over top-k results (view, s1, cand)."""
-    hits = found.select("view", "s1", "cand").join(truth.select("s1", "cand"), ["s1", "cand"], "left_semi")
+    hits = found.select("view", "s1", "cand").join(large(truth.select("s1", "cand")), ["s1", "cand"], "left_semi")
     return hits.groupBy("s1", "cand").agg(F.count("*").alias("views"), F.min("view").alias("view")).where("views = 1").groupBy("view").agg(F.count("*").alias("n"))
 
 
