@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from kinlink.functions import kernels as K
-from kinlink.operators import decide, metrics, model, retrieve, tiles
+from kinlink.operators import decide, features, metrics, model, retrieve, tiles
 from kinlink.plans import config
-from kinlink.plans.queries import ORACLES, QUERIES, norm
+from kinlink.plans.queries import ORACLES, QUERIES, kept, norm, post
 from kinlink.sources import fixtures, records
 
 TABLES = "customer nation part documents benchmark".split()
@@ -320,6 +320,23 @@ def test_term_counts_are_not_broadcast(spark, sf_dir):
     assert broadcasts(retrieve.weighed(counts, idf)) <= broadcasts(idf)
 
 
+def test_records_truth_and_candidates_are_not_broadcast(spark, sf_dir):
+    own, found, weights = norm(spark, sf_dir), kept(spark, sf_dir), post(spark, sf_dir)
+    true, ones = fixtures.truth(spark, sf_dir), fixtures.ones(spark, sf_dir)
+    base = broadcasts(true)
+    sides = features.with_sides(found, own)
+    assert broadcasts(sides) == 0
+    idf = retrieve.token_idf(own)
+    assert broadcasts(features.token_features(sides, idf)) <= broadcasts(idf)
+    assert broadcasts(metrics.unique_positives(found.withColumn("view", F.lit("name")), true)) <= base
+    missed = metrics.missed_pairs(true, found)
+    assert broadcasts(missed) <= base
+    bc = own.select(F.col("entity_id").alias("s1"), "bc")
+    plain_ = broadcasts(retrieve.pair_cosine(missed.join(bc.hint("merge"), "s1"), weights))
+    assert broadcasts(metrics.missed_similarity(missed, own, weights)) <= plain_
+    assert broadcasts(metrics.blocking(found, true, ones, 1)) <= 2 * base + broadcasts(ones)
+
+
 @pytest.fixture()
 def small_tiles(monkeypatch):
     monkeypatch.setattr(tiles, "QUERY_DOCS", 3)
