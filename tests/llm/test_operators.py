@@ -213,6 +213,19 @@ def test_substrings_where_one_side_repeats_its_last_line(spark, length):
     assert got == brute_removal(data, length)
 
 
+def test_substrings_send_a_row_for_a_bucket_whatever_the_number_of_batches():
+    def batch(k):
+        texts = [b"%06d " % (7 * k + i) * 20 + b"the very same line of more than fifty bytes that all of them have" for i in range(5)]
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.arange(5 * k, 5 * k + 5)
+
+    sieve = substring.Sieve(8, 1 << 20)
+    sieve.bits = np.full(sieve.buckets * sieve.slots // 8, 255, np.uint8)
+    batches = [batch(k) for k in range(9)]
+    for parts, rows in (((substring.seen(b, o, 50, sieve) for b, o, _ in batches), substring.seen_rows), ((substring.bucketed(b, o, i, 50, sieve) for b, o, i in batches), substring.bucketed_rows)):
+        sent = [x for rows in substring.held_back(parts, rows) for x in rows[0].to_pylist()]
+        assert len(sent) == len(set(sent)) <= 8
+
+
 def test_substrings_keep_text_and_columns(spark):
     p = prose(20)
     df = clashing(spark, [(1, p), (2, "start " + p + " end"), (3, None)])
