@@ -86,6 +86,25 @@ def test_kernels_against_plain_definitions():
         assert K.token_set(a, b) == pytest.approx(want)
 
 
+def test_kernels_of_many_pairs_are_those_of_each(monkeypatch):
+    import random
+
+    random.seed(12)
+    text = lambda n, letters: " ".join("".join(random.choice(letters) for _ in range(random.randint(1, 9))) for _ in range(random.randint(0, n)))
+    pairs = [(text(n, s), text(n, s)) for n in (1, 4, 9, 30) for s in ("ab", "abcdefgh", "aé\u0915\U00020000") for _ in range(60)]
+    pairs += [("", ""), ("", "a"), ("a" * 64, "a" * 64), ("ab" * 32, "ba" * 40), ("a" * 65, "a" * 65), ("x" * 64, "y" * 64)]
+    pairs += [(a, a[::-1]) for a, _ in pairs]
+    monkeypatch.setattr(K, "CELLS", 3000)
+    for many, one in ((K.indels, K.indel), (K.partials, K.partial), (K.token_sorts, K.token_sort), (K.token_sets, K.token_set)):
+        assert many(pairs) == pytest.approx([one(*p) for p in pairs], abs=1e-12)
+        assert many([]) == []
+
+
+def test_second_hop_is_not_part_of_the_plan_of_all_features(spark, sf_dir):
+    plan = QUERIES["all_pair_features"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hop_best" in plan and plan.count("FlatMapGroupsInArrow") == 1  # the cosines of siblings
+
+
 def test_number_kernels(spark):
     df = spark.createDataFrame([(["2777"], ["277"]), (["10"], ["12", "8"]), ([], ["1"]), (["5"], ["5", "7"])], "a array<string>, b array<string>")
     got = df.select(K.number_near(F.col("a"), F.col("b")), K.number_differences(F.col("a"), F.col("b"))).collect()
