@@ -11,7 +11,7 @@ from kinlink.functions import kernels as K
 from kinlink.operators import decide, features, metrics, model, retrieve, tiles
 from kinlink.plans import config
 from kinlink.plans.queries import ORACLES, QUERIES, kept, norm, post
-from kinlink.sources import fixtures, records
+from kinlink.sources import fixtures, records, tables
 
 TABLES = "customer nation part documents benchmark".split()
 
@@ -396,3 +396,16 @@ def test_pair_cosines_over_several_tiles(spark, small_tiles):
     got = retrieve.pair_cosine(spark.createDataFrame(pairs + pairs, "bc string, s1 string, cand string"), post).collect()
     want = [(*p, *(sims.get((v, *p), 0.0) for v in retrieve.VIEWS)) for p in pairs]
     assert sorted((r.bc, r.s1, r.cand, *(round(r[f"sim_{v}"], 6) for v in retrieve.VIEWS)) for r in got) == sorted(want)
+
+
+def test_candidates_in_portions_are_those_of_all_at_once(spark, monkeypatch):
+    _, post = made_postings(spark)
+    ours = lambda own: retrieve.prune(retrieve.scored_union(own, 5), 4)
+    rows = lambda df: sorted(tuple(r) for r in df.select("bc", "s1", "cand", "prune_rank", "n_retr", *(f"sim_{v}" for v in retrieve.VIEWS)).collect())
+    want, taken = rows(ours(post)), []
+    monkeypatch.setattr(retrieve, "PORTION", 3)
+    before = set(tables._written)
+    got = retrieve.in_portions(post, lambda own: (taken.append(own.where("src = 1").select("id").distinct().count()), ours(own))[1])
+    assert rows(got) == want and len(taken) > 2 and max(taken) < 16 == sum(taken)
+    assert len(set(tables._written) - before) == 1  # what a portion found is gone
+    assert tables._written[-1].rsplit("/", 1)[1] in got.inputFiles()[0]
